@@ -61,7 +61,7 @@ def laplace(key: Column | str, seed: int, scale: Column | float) -> Column:
 def hash31_sql(key: str, seed: int) -> str:
     """The same integer as :func:`hash31` as SQL text for another engine."""
     a, b, c = MULTIPLIERS
-    low, high = f"(({key}) % {M31})", f"((({key}) >> 31) % {M31})"
+    low, high = f"(CAST({key} AS BIGINT) % {M31})", f"((CAST({key} AS BIGINT) >> 31) % {M31})"
     h1 = f"(({low} * {a} + {high} * {c} + {(seed * 1000003 + 12345) % M31}) % {M31})"
     h2 = f"((xor({h1}, {h1} >> 15) * {b} + {(seed * 7919 + 777) % M31}) % {M31})"
     return f"((xor({h2}, {h2} >> 13) * {c}) % {M31})"

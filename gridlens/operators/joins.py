@@ -49,15 +49,16 @@ def packets_in_lifetime(packets: DataFrame, flows: DataFrame, key: list[str], ts
     """Packet count and value sum inside [start, end] of each flow; lifetimes may overlap freely.
 
     Both are differences of running totals at the two ends, so the work is one sort of
-    packets plus two markers per flow, however many packets each flow covers.
+    packets plus two markers per flow, however many packets each flow covers. Values are summed
+    as decimals of six places: differences of long double totals would lose digits.
     """
     nothing = F.lit(None).cast(flows.schema[flow_id].dataType)
     moves = packets.select(
         *key, F.col(ts).alias("__t"), F.lit(1).alias("__kind"), nothing.alias(flow_id),
-        F.lit(1).alias("__one"), F.col(value).cast("double").alias("__v"),
+        F.lit(1).alias("__one"), F.col(value).cast("decimal(28,6)").alias("__v"),
     )
     marks = [
-        flows.select(*key, F.col(c).alias("__t"), F.lit(k).alias("__kind"), F.col(flow_id), F.lit(0).alias("__one"), F.lit(0.0).alias("__v"))
+        flows.select(*key, F.col(c).alias("__t"), F.lit(k).alias("__kind"), F.col(flow_id), F.lit(0).alias("__one"), F.lit(0).cast("decimal(28,6)").alias("__v"))
         for c, k in ((start, 0), (end, 2))
     ]
     # Ties inside one kind may stand in any order: only totals between kinds are read.
@@ -67,7 +68,7 @@ def packets_in_lifetime(packets: DataFrame, flows: DataFrame, key: list[str], ts
     ).where("__kind <> 1")
     at = lambda kind, c: F.max(F.when(F.col("__kind") == kind, F.col(c)))
     return totals.groupBy(*key, flow_id).agg(
-        (at(2, "__n") - at(0, "__n")).alias("n_packets"), (at(2, "__s") - at(0, "__s")).alias("value_sum")
+        (at(2, "__n") - at(0, "__n")).alias("n_packets"), (at(2, "__s") - at(0, "__s")).cast("double").alias("value_sum")
     )
 
 

@@ -50,7 +50,7 @@ def column_quantiles(
             if counts[n]:
                 ranks.setdefault((n, math.floor(place)), None)
                 ranks.setdefault((n, math.ceil(place)), None)
-    values = _order_statistics(numbers, counts, list(ranks), limit)
+    values = order_statistics(numbers, counts, list(ranks), limit)
     out = {}
     for c, n in zip(columns, names):
         out[c] = []
@@ -65,7 +65,7 @@ def column_quantiles(
     return out
 
 
-def _order_statistics(df, counts, targets, limit):
+def order_statistics(df: DataFrame, counts: dict, targets: list[tuple[str, int]], limit: int) -> dict:
     """Value at each (column, 0-based rank): narrow an open interval until it holds few rows."""
     found = {}
     span = {t: (None, None, 0, counts[t[0]]) for t in targets}  # low, high, rows below, rows inside

@@ -338,7 +338,7 @@ GAPS_SQL = """gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITI
 SUMMARY_SQL = f"""
 WITH {GAPS_SQL}
 SELECT user_id, count(*) AS packets, round(sum(value), 4) AS bytes, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 4) AS duration_s,
-  round(avg(iat) * 1000, 3) AS iat_mean_ms, round(stddev_pop(iat) * 1000, 3) AS iat_std_ms,
+  round(avg(iat) * 1000, 1) AS iat_mean_ms, round(stddev_pop(iat) * 1000, 1) AS iat_std_ms,
   round(coalesce(sum(value) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 0), 6) AS bytes_per_s,
   round(coalesce(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 0), 6) AS packets_per_s
 FROM gaps GROUP BY user_id HAVING count(*) >= 2"""
@@ -347,7 +347,7 @@ FROM gaps GROUP BY user_id HAVING count(*) >= 2"""
 def capture_summary(t):
     found = sequence.capture_summary(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", "event_id", "value")
     found = rounded(found, ["bytes", "duration_s"])
-    return rounded(rounded(found, ["iat_mean_ms", "iat_std_ms"], 3), ["bytes_per_s", "packets_per_s"], 6)
+    return rounded(rounded(found, ["iat_mean_ms", "iat_std_ms"], 1), ["bytes_per_s", "packets_per_s"], 6)
 
 
 query("capture_summary", SUMMARY_SQL)(capture_summary)
@@ -357,15 +357,15 @@ query("capture_summary", SUMMARY_SQL)(capture_summary)
 WITH {GAPS_SQL}, d AS (SELECT user_id, count(*) AS packets, sum(value) AS bytes, count(DISTINCT event_type) AS flow_count,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS dur, avg(iat) AS m, min(iat) AS lo, max(iat) AS hi, stddev_pop(iat) AS s, var_pop(iat) AS v,
   avg(value) AS sm, min(value) AS smin, max(value) AS smax, stddev_pop(value) AS ss FROM gaps GROUP BY user_id HAVING count(*) >= 2)
-SELECT user_id, packets, round(bytes, 4) AS bytes, flow_count, round(dur, 4) AS duration_s, round(m * 1000, 3) AS iat_mean_ms, round(lo * 1000, 3) AS iat_min_ms,
-  round(hi * 1000, 3) AS iat_max_ms, round(s * 1000, 3) AS jitter_ms, round(v, 3) AS iat_variance, round(sm, 4) AS size_mean, smin AS size_min, smax AS size_max,
+SELECT user_id, packets, round(bytes, 4) AS bytes, flow_count, round(dur, 4) AS duration_s, round(m * 1000, 1) AS iat_mean_ms, round(lo * 1000, 3) AS iat_min_ms,
+  round(hi * 1000, 3) AS iat_max_ms, round(s * 1000, 1) AS jitter_ms, round(v, 1) AS iat_variance, round(sm, 4) AS size_mean, smin AS size_min, smax AS size_max,
   round(ss, 4) AS size_std, round(coalesce(packets / nullif(dur, 0), 0), 6) AS packets_per_s, round(coalesce(bytes / nullif(dur, 0), 0), 6) AS bytes_per_s,
   round(coalesce(bytes * 8 / nullif(dur * 1e6, 0), 0), 9) AS mbps FROM d""")
 def _(t):
     found = sequence.capture_summary_extended(t.events.drop("props"), ["user_id"], "ts", "event_id", "value", ["event_type"])
     found = found.withColumn("iat_variance", F.col("iat_variance") / 1e6)  # back to s^2: the digits of two engines agree
     found = rounded(found, ["bytes", "duration_s", "size_mean", "size_std"])
-    found = rounded(found, ["iat_mean_ms", "iat_min_ms", "iat_max_ms", "jitter_ms", "iat_variance"], 3)
+    found = rounded(rounded(found, ["iat_min_ms", "iat_max_ms"], 3), ["iat_mean_ms", "jitter_ms", "iat_variance"], 1)
     return rounded(rounded(found, ["packets_per_s", "bytes_per_s"], 6), ["mbps"], 9)
 
 
@@ -407,10 +407,10 @@ def _pairs(t):
 
 
 @query("rtt_summary", f"""
-WITH {PAIRS_SQL} SELECT src, count(*) AS n_pairs, round(quantile_cont(rtt_ms, 0.5), 4) AS rtt_ms, round(quantile_cont(rtt_ms, 0.5) / 2, 4) AS one_way_ms
+WITH {PAIRS_SQL} SELECT src, count(*) AS n_pairs, round(quantile_cont(rtt_ms, 0.5), 6) AS rtt_ms, round(quantile_cont(rtt_ms, 0.5) / 2, 6) AS one_way_ms
 FROM pairs WHERE rtt_ms > 0 AND rtt_ms < 1000 GROUP BY src""")
 def _(t):
-    return rounded(sequence.rtt_summary(_pairs(t), ["src"]), ["rtt_ms", "one_way_ms"])
+    return rounded(sequence.rtt_summary(_pairs(t), ["src"]), ["rtt_ms", "one_way_ms"], 6)
 
 
 @query("traffic_by_source", f"WITH {PACKETS_SQL} SELECT src, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY src")
@@ -433,7 +433,7 @@ def _(t):
 
 
 @query("join_interval", """
-WITH f AS (SELECT event_id AS flow_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 3600 * 1000000 AS e FROM events WHERE event_type = 'signup')
+WITH f AS (SELECT event_id AS flow_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 3600000000 AS e FROM events WHERE event_type = 'signup')
 SELECT flow_id, f.user_id, count(p.event_id) AS n_packets, round(coalesce(sum(value), 0), 4) AS value_sum
 FROM f LEFT JOIN events p ON p.user_id = f.user_id AND event_type <> 'signup' AND epoch_us(p.ts) BETWEEN s AND e GROUP BY flow_id, f.user_id""")
 def _(t):
@@ -445,7 +445,7 @@ def _(t):
 
 
 @query("flow_of_packet", """
-WITH f AS (SELECT event_id AS flow_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 3600 * 1000000 AS e FROM events WHERE event_type = 'signup'),
+WITH f AS (SELECT event_id AS flow_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 3600000000 AS e FROM events WHERE event_type = 'signup'),
 m AS (SELECT p.event_id, p.user_id, epoch_us(p.ts) AS us, f.flow_id, f.s, f.e FROM events p
   ASOF LEFT JOIN f ON p.user_id = f.user_id AND epoch_us(p.ts) >= f.s WHERE p.event_type <> 'signup')
 SELECT event_id, user_id, us, CASE WHEN us <= e THEN flow_id END AS flow_id FROM m""")
@@ -510,7 +510,7 @@ def _(t):
 # Sparse enough for several components: customers of one day's orders, linked to their priority of that day.
 COMPONENT_SQL = """edges AS (SELECT DISTINCT o_custkey * 2 AS a, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) * 2 + 1 AS b
   FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"""
+twoway AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"""
 
 
 def _component_edges(t):
@@ -521,7 +521,7 @@ def _component_edges(t):
 
 @query("graph_components", f"""
 WITH RECURSIVE {COMPONENT_SQL}, reach(node, root) AS (
-  SELECT a, a FROM both UNION SELECT both.b, reach.root FROM reach JOIN both ON both.a = reach.node AND both.b > reach.root)
+  SELECT a, a FROM twoway UNION SELECT t.b, reach.root FROM reach JOIN twoway t ON t.a = reach.node AND t.b > reach.root)
 SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def _(t):
     return graph.components(_component_edges(t))
@@ -529,7 +529,7 @@ def _(t):
 
 @query("largest_component", f"""
 WITH RECURSIVE {COMPONENT_SQL}, reach(node, root) AS (
-  SELECT a, a FROM both UNION SELECT both.b, reach.root FROM reach JOIN both ON both.a = reach.node AND both.b > reach.root)
+  SELECT a, a FROM twoway UNION SELECT t.b, reach.root FROM reach JOIN twoway t ON t.a = reach.node AND t.b > reach.root)
 SELECT component, count(*) AS n_nodes FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) GROUP BY component ORDER BY n_nodes DESC, component LIMIT 1""")
 def _(t):
     return graph.component_sizes(graph.components(_component_edges(t))).orderBy(F.desc("n_nodes"), "component").limit(1)
@@ -538,8 +538,8 @@ def _(t):
 # ---- batch twins of the streaming rules -------------------------------------------------------------
 
 @query("auto_block", f"""
-WITH {ALERTS_SQL}, first AS (SELECT user_id, min(ts) AS at FROM alerts WHERE confidence > 0.9 GROUP BY user_id)
-SELECT a.event_id, a.user_id, a.ts, a.confidence, coalesce(a.ts = at, false) AS blocks FROM alerts a LEFT JOIN first f ON f.user_id = a.user_id WHERE at IS NULL OR a.ts <= at""")
+WITH {ALERTS_SQL}, firsts AS (SELECT user_id, min(ts) AS block_ts FROM alerts WHERE confidence > 0.9 GROUP BY user_id)
+SELECT a.event_id, a.user_id, a.ts, a.confidence, coalesce(a.ts = block_ts, false) AS blocks FROM alerts a LEFT JOIN firsts f ON f.user_id = a.user_id WHERE block_ts IS NULL OR a.ts <= block_ts""")
 def _(t):
     alerts = event_alerts(t.events).select("event_id", "user_id", "ts", "confidence")
     return rules.auto_block(alerts, "user_id", ["ts", "event_id"], "confidence", 0.9)
