@@ -22,10 +22,15 @@ def rounded_vote(votes: list[Column | str]) -> Column:
 def soft_vote(probabilities: list[Column | str], weights: list[float] | None = None) -> Column:
     """Weighted mean of probability arrays, element by element."""
     weights = weights or [1.0] * len(probabilities)
-    total = F.transform(col(probabilities[0]), lambda x: x * weights[0])
-    for p, w in zip(probabilities[1:], weights[1:]):
-        total = F.zip_with(total, col(p), lambda a, b, w=w: a + b * F.lit(w))
-    return F.transform(total, lambda x: x / sum(weights))
+    scaled = [F.transform(col(p), _times(w / sum(weights))) for p, w in zip(probabilities, weights)]
+    total = scaled[0]
+    for part in scaled[1:]:
+        total = F.zip_with(total, part, lambda a, b: a + b)
+    return total
+
+
+def _times(weight: float):
+    return lambda x: x * F.lit(weight)
 
 
 def top_class(probability: Column | str) -> Column:

@@ -166,7 +166,7 @@ def grid_search(kind: str, df: DataFrame, row_id: str, classes: int, grid: dict[
         estimator=estimator, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
         numFolds=folds, foldCol="fold", parallelism=4,
     ).fit(with_fold(df, row_id, folds, seed))
-    table = [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, search.avgMetrics)]
+    table = [({p.name: v for p, v in m.items()}, float(s)) for m, s in zip(maps, search.avgMetrics)]
     return search.bestModel, sorted(table, key=lambda r: -r[1])
 
 
@@ -213,11 +213,10 @@ def permutation_importance(model, df: DataFrame, row_id: str, features: str, col
     hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     vector = lambda a: array_to_vector(a)
     score = lambda a: model.transform(rows.select("label", vector(a).alias("features"))).agg(hit).first()[0]
-    whole = score(F.col("x"))
+    whole, width = score(F.col("x")), rows.select(F.size("x")).first()[0]
     lost = []
     for j in columns:
-        swapped = F.zip_with("x", "donor", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        swapped = F.transform(swapped, lambda p, i, j=j: F.when(i == j, p["b"]).otherwise(p["a"]))
+        swapped = F.concat(F.slice("x", 1, j), F.slice("donor", j + 1, 1), F.slice("x", j + 2, width))
         lost.append((j, whole - score(swapped)))
     return sorted(lost, key=lambda r: (-r[1], r[0]))
 

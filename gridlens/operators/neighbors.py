@@ -110,8 +110,12 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
         visits, "qrep bigint, qx array<double>, cell int, part int, lane bigint")
     # Queries of a busy chunk are spread over lanes so that no task meets them all.
     load = asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4.0 * chunk)).cast("int").alias("lanes"))
-    asked = asked.join(load, ["cell", "part"]).withColumn("lane", F.pmod("lane", F.col("lanes")).cast("int"))
-    targets = chunked.join(load, ["cell", "part"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    load = cut_lineage(load)  # one row per chunk
+    asked = asked.join(load, ["cell", "part"]).select(
+        "qrep", "qx", "cell", "part", F.pmod("lane", F.col("lanes")).cast("int").alias("lane"))
+    targets = chunked.join(load, ["cell", "part"]).select(
+        "rep", "x", "n", "ids", F.col("cell").alias("tcell"), F.col("part").alias("tpart"),
+        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("tlane"))
 
     def block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -130,7 +134,7 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
                     out += [(q, float(d[i][c]), ids[c]) for c in chosen]
         return pd.DataFrame(out, columns=["qrep", "distance", "ids"])
 
-    found = asked.groupBy("cell", "part", "lane").cogroup(targets.groupBy("cell", "part", "lane")).applyInPandas(
+    found = asked.groupBy("cell", "part", "lane").cogroup(targets.groupBy("tcell", "tpart", "tlane")).applyInPandas(
         block, "qrep bigint, distance double, ids array<bigint>")
     # Merge per distinct vector; at most k + 1 ids are needed, and row limits are pushed below the shuffle.
     pairs = found.select("qrep", "distance", F.explode("ids").alias("neighbor"))

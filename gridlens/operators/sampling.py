@@ -36,19 +36,18 @@ def smallest_by_hash(df: DataFrame, row_id: str, seed: int, wanted: dict, label:
             predicate = predicate | member[c]
     if not part:
         return predicate
-    hashes = df.select(F.col(row_id).alias("id"), *[F.when(member[c], h).cast("double").alias(names[c]) for c in part])
+    hashed = df.select(F.col(row_id).alias("id"), *([] if label is None else [label]), h.cast("double").alias("h"))
+    hashes = hashed.select("id", *[F.when(member[c], F.col("h")).alias(names[c]) for c in part])
     cuts = order_statistics(
         hashes, {names[c]: counts[c] for c in part}, [(names[c], wanted[c] - 1) for c in part], _COLLECT
     )
     cut = {c: int(cuts[(names[c], wanted[c] - 1)]) for c in part}
     # Rows that share the cut-off hash are few: ids are unique and the hash has 2^31 values.
-    below = hashes.agg(*[F.count(F.when(F.col(names[c]) < cut[c], 1)) for c in part]).first()
-    ties = hashes.agg(*[
-        F.slice(F.array_sort(F.collect_list(F.when(F.col(names[c]) == cut[c], F.col("id")))), 1, wanted[c] - below[i])
-        for i, c in enumerate(part)
-    ]).first()
+    found = hashes.agg(*[e for c in part for e in (
+        F.count(F.when(F.col(names[c]) < cut[c], 1)), F.collect_list(F.when(F.col(names[c]) == cut[c], F.col("id"))))]).first()
     for i, c in enumerate(part):
-        predicate = predicate | (member[c] & ((h < cut[c]) | ((h == cut[c]) & F.col(row_id).isin(ties[i]))))
+        ties = sorted(found[2 * i + 1])[:wanted[c] - found[2 * i]]
+        predicate = predicate | (member[c] & ((h < cut[c]) | ((h == cut[c]) & F.col(row_id).isin(ties))))
     return predicate
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridlens.operators import ablation, anomaly, models, neighbors, robust, sampling, selection
 from gridlens.plans.common import rounded, vector_columns
 from gridlens.plans.registry import query
-from gridlens.session import scratch
+from gridlens.session import cut_lineage, scratch
 
 WIDTH = 64
 
@@ -22,7 +22,8 @@ def _parts(t, binary=False):
     target = (F.col("label") < 5).cast("int") if binary else F.col("label")
     rows = t.embeddings.select("vec_id", target.alias("y"), "embedding")
     marked = sampling.split(rows, "vec_id", 0.2, "y")
-    vectors = models.as_vectors(marked, "embedding", "y", keep=("vec_id", "is_test"))
+    # Training reads its rows many times, so they are written once.
+    vectors = cut_lineage(models.as_vectors(marked, "embedding", "y", keep=("vec_id", "is_test")))
     return vectors.where("not is_test").drop("is_test"), vectors.where("is_test").drop("is_test")
 
 
@@ -85,7 +86,7 @@ def _(t):
 @query("stacking")
 def _(t):
     train, test = _parts(t)
-    bases = {"tree": models.classifier("tree", 10, maxDepth=6), "logistic": models.classifier("logistic", 10, maxIter=15)}
+    bases = {"tree": models.classifier("tree", 10, maxDepth=4), "logistic": models.classifier("logistic", 10, maxIter=8)}
     full, meta, _ = models.stack(bases, train, "vec_id", 10, folds=3)
     return _predictions_of(models.stack_predict(full, meta, test, "vec_id"))
 
@@ -99,7 +100,7 @@ def _(t):
     # Meta features are made on a 20 % subset only, as a cheaper form of stacking.
     train, test = _parts(t)
     subset = sampling.sample_rows(train, "vec_id", max(1, int(train.count() * 0.2)))
-    bases = {"tree": models.classifier("tree", 10, maxDepth=6), "logistic": models.classifier("logistic", 10, maxIter=15)}
+    bases = {"tree": models.classifier("tree", 10, maxDepth=4), "logistic": models.classifier("logistic", 10, maxIter=8)}
     full, meta, _ = models.stack(bases, subset, "vec_id", 10, folds=2)
     return _predictions_of(models.stack_predict(full, meta, test, "vec_id"))
 
@@ -328,7 +329,7 @@ def _(t):
 def _unit_rows(t):
     """Embeddings scaled into [0, 1] element by element, as the perturbations expect."""
     x = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.cast("double") / 2 + 0.5)))
-    return t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), x.alias("features"))
+    return cut_lineage(t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), x.alias("features")))
 
 
 def _tree_on_units(t):
@@ -376,6 +377,7 @@ def _(t):
 def _(t):
     # Labels of training rows only are flipped; the test rows stay clean.
     marked = sampling.split(t.embeddings.select("vec_id", "label", "embedding"), "vec_id", 0.2, "label")
+    marked = cut_lineage(marked)
     train, test = marked.where("not is_test"), models.as_vectors(marked.where("is_test"), "embedding", "label")
     rows = []
     for rate in (0.0, 0.10, 0.25, 0.50):
