@@ -68,7 +68,7 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
     total = distinct.count()
     if total == 0:
         return source.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance"), F.lit(1).cast("bigint").alias("rank"))
-    centres = _pivots(distinct, pivots or max(1, min(2048, math.isqrt(total))), seed)
+    centres = _pivots(distinct, pivots or max(1, min(2048, total // (chunk // 4))), seed)
     placed = _place(distinct, centres)
     # Position inside the cell by distance to the pivot gives chunks that are rings around it.
     numbered = ordered.scan(placed, ["cell"], ["to_pivot", "rep"], [ordered.row_number("rn")])
@@ -118,21 +118,17 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
         F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("tlane"))
 
     def block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts = []
         if len(queries) and len(candidates):
-            x = np.stack(candidates["x"].to_numpy())
-            n, reps = candidates["n"].to_numpy(), candidates["rep"].to_numpy()
-            ids = candidates["ids"].to_numpy()
-            for start in range(0, len(queries), 512):
-                part = queries.iloc[start:start + 512]
-                d = _distances(np.stack(part["qx"].to_numpy()), x)
-                for i, q in enumerate(part["qrep"].to_numpy()):
-                    order = np.lexsort((reps, d[i]))
-                    stop = int(np.searchsorted(np.cumsum(n[order]), k + 1)) + 1
-                    cut = d[i][order[min(stop, len(order)) - 1]]
-                    chosen = order[:np.searchsorted(d[i][order], cut, side="right")]  # ties of the last one stay
-                    out += [(q, float(d[i][c]), ids[c]) for c in chosen]
-        return pd.DataFrame(out, columns=["qrep", "distance", "ids"])
+            x, qx = np.stack(candidates["x"].to_numpy()), np.stack(queries["qx"].to_numpy())
+            reps, ids = queries["qrep"].to_numpy(), candidates["ids"].to_numpy()
+            last = min(k, len(x) - 1)
+            for start in range(0, len(qx), 512):
+                d = _distances(qx[start:start + 512], x)
+                # The k + 1 nearest vectors and all that tie with the last of them.
+                q, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last, None])
+                parts.append(pd.DataFrame({"qrep": reps[start + q], "distance": d[q, c], "ids": ids[c]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"qrep": [], "distance": [], "ids": []})
 
     found = asked.groupBy("cell", "part", "lane").cogroup(targets.groupBy("tcell", "tpart", "tlane")).applyInPandas(
         block, "qrep bigint, distance double, ids array<bigint>")

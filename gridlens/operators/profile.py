@@ -115,6 +115,7 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 def data_profile(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """One row per column: rows, missing, distinct, and moments for numeric columns."""
+    # Distinct counts expand each row per column, so they stay apart from the moments.
     total = F.count(F.lit(1))
     none = F.max(F.lit(None).cast("double"))
     medians = column_quantiles(df, numeric, [0.5]) if numeric else {}
@@ -124,13 +125,14 @@ def data_profile(df: DataFrame, numeric: list[str], text: list[str]) -> DataFram
         is_number = c in medians
         stats[c] = {
             "kind": F.max(F.lit("numeric" if is_number else "text")),
-            "n": total, "missing": total - F.count(x), "n_distinct": F.count_distinct(x),
+            "n": total, "missing": total - F.count(x),
             "mean": F.avg(x) if is_number else none,
             "median": F.max(F.lit(medians[c][0]).cast("double")) if is_number else none,
             "std": F.stddev_samp(x) if is_number else none,
             "skewness": sample_skewness(x) if is_number else none,
         }
-    return long_form(df, stats, batch=10)
+    return long_form(df, stats, batch=10).join(distinct_profile(df, numeric + text), "column_name")
+
 
 def pattern_summary(df: DataFrame, by: list[str], source: str, severity: str, size: str) -> DataFrame:
     """Per group: distinct sources, the first 100 of them in order, mean and population deviation.

@@ -1,7 +1,7 @@
 """Exact quantiles (linear interpolation) without gathering a column in one task.
 
-Up to ``spark.gridlens.maxGroupRows`` values the built-in ``percentile`` aggregate is
-used. Past that, a mergeable quantile sketch brackets each wanted rank, exact counts
+Short columns go to the built-in ``percentile`` aggregate, which keeps every distinct value in
+one task. Past that, a mergeable quantile sketch brackets each wanted rank, exact counts
 confirm the bracket, and the search repeats inside it until few values remain. Rows are
 never shuffled: each round is one scan that returns one small row.
 """
@@ -17,7 +17,11 @@ from gridlens.functions.scalar import col
 from gridlens.operators import ordered
 from gridlens.session import max_group_rows
 
-_ACCURACY = 10000
+_ACCURACY = 2000
+#: Columns of up to this many values go to the built-in aggregate, which keeps every distinct value.
+DIRECT = 100_000
+#: The search ends when at most this many values can hold the wanted rank.
+BRACKET = 20_000
 
 
 def agg_row(df: DataFrame, expressions: dict[str, Column], batch: int = 200) -> dict:
@@ -32,10 +36,9 @@ def agg_row(df: DataFrame, expressions: dict[str, Column], batch: int = 200) ->
 
 
 def column_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], limit: int | None = None
+    df: DataFrame, columns: list[str], probs: list[float], limit: int = DIRECT
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns; nulls are ignored. The answer is k x m numbers."""
-    limit = max_group_rows(df.sparkSession) if limit is None else limit
     numbers = df.select(*[col(c).cast("double").alias(f"q{i}") for i, c in enumerate(columns)])
     names = numbers.columns
     counts = agg_row(numbers, {n: F.count(n) for n in names})
@@ -50,7 +53,7 @@ def column_quantiles(
             if counts[n]:
                 ranks.setdefault((n, math.floor(place)), None)
                 ranks.setdefault((n, math.ceil(place)), None)
-    values = order_statistics(numbers, counts, list(ranks), limit)
+    values = order_statistics(numbers, counts, list(ranks), min(limit, BRACKET))
     out = {}
     for c, n in zip(columns, names):
         out[c] = []
@@ -83,15 +86,21 @@ def order_statistics(df: DataFrame, counts: dict, targets: list[tuple[str, int]]
         wide = [t for t in span if t not in found and span[t][3] > limit]
         if not wide:
             break
-        sketch = {}
+        # Targets that still share an interval share one sketch of it.
+        shared = {}
         for t in wide:
             low, high, below, rows = span[t]
             p = (t[1] - below + 0.5) / rows
-            ends = [max(0.0, p - 2.0 / _ACCURACY), min(1.0, p + 2.0 / _ACCURACY)]
-            sketch[t] = F.percentile_approx(
-                F.when(inside(t[0], low, high), F.col(t[0])), F.array(*[F.lit(e) for e in ends]), _ACCURACY
-            )
-        cuts = agg_row(df, sketch, batch=25)
+            ends = shared.setdefault((t[0], low, high), [])
+            ends += [max(0.0, p - 2.0 / _ACCURACY), min(1.0, p + 2.0 / _ACCURACY)]
+        sketches = agg_row(df, {
+            key: F.percentile_approx(F.when(inside(*key), F.col(key[0])), F.array(*[F.lit(e) for e in ends]), _ACCURACY)
+            for key, ends in shared.items()
+        }, batch=25)
+        cuts, used = {}, {key: iter(values) for key, values in sketches.items()}
+        for t in wide:
+            values = used[(t[0], span[t][0], span[t][1])]
+            cuts[t] = (next(values), next(values))
         tally = {}
         for t in wide:
             lo, hi = cuts[t]
@@ -117,7 +126,7 @@ def order_statistics(df: DataFrame, counts: dict, targets: list[tuple[str, int]]
     for t in rest:
         low, high, below, _ = span[t]
         kept = F.collect_list(F.when(inside(t[0], low, high), F.col(t[0])))  # at most `limit` values
-        picks[t] = F.element_at(F.array_sort(kept), t[1] - below + 1)
+        picks[t] = F.element_at(F.sort_array(kept), t[1] - below + 1)
     found.update(agg_row(df, picks, batch=10) if picks else {})
     return found
 

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.hashing import hash31, unit
 from gridlens.functions.scalar import col
 from gridlens.operators import ordered
-from gridlens.operators.quantiles import order_statistics
-
-_COLLECT = 100_000
+from gridlens.operators.quantiles import BRACKET, order_statistics
 
 
 def group_counts(df: DataFrame, label: str) -> dict:
@@ -39,7 +37,7 @@ def smallest_by_hash(df: DataFrame, row_id: str, seed: int, wanted: dict, label:
     hashed = df.select(F.col(row_id).alias("id"), *([] if label is None else [label]), h.cast("double").alias("h"))
     hashes = hashed.select("id", *[F.when(member[c], F.col("h")).alias(names[c]) for c in part])
     cuts = order_statistics(
-        hashes, {names[c]: counts[c] for c in part}, [(names[c], wanted[c] - 1) for c in part], _COLLECT
+        hashes, {names[c]: counts[c] for c in part}, [(names[c], wanted[c] - 1) for c in part], BRACKET
     )
     cut = {c: int(cuts[(names[c], wanted[c] - 1)]) for c in part}
     # Rows that share the cut-off hash are few: ids are unique and the hash has 2^31 values.
