@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.functions.aggregates import correlation
 from gridlens.functions.hashing import hash31
 from gridlens.functions.scalar import col
 from gridlens.operators import ordered
@@ -284,7 +285,7 @@ def principal_outliers(df: DataFrame, features: str, width: int, low: float = 0.
     model, _, _ = pca(vectors, "__v", k=1, width=width)
     scored = model.transform(vectors).withColumn("__pc1", vector_to_array("components")[0])
     x = F.col(features).cast("array<double>")
-    corr = agg_row(scored, {j: F.corr(x[j], F.col("__pc1")) for j in range(width)}, batch=100)
+    corr = agg_row(scored, {j: correlation(x[j], F.col("__pc1")) for j in range(width)}, batch=100)
     weak = sum(1 for v in corr.values() if v is not None and not math.isnan(v) and abs(v) < low)
     return df.select("*", F.lit(weak).alias("rule_score"), F.lit(int(weak >= needed)).alias("anomaly"))
 

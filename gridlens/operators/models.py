@@ -89,7 +89,8 @@ def fit_adaboost(df: DataFrame, classes: int, rounds: int = 10, depth: int = 1,
 def adaboost_predict(df: DataFrame, fitted: list[tuple[float, object]], classes: int) -> DataFrame:
     out = df
     for i, (_, tree) in enumerate(fitted):
-        out = tree.setPredictionCol(f"__p{i}").setProbabilityCol("").setRawPredictionCol("").transform(out)
+        named = tree.copy().setPredictionCol(f"__p{i}").setProbabilityCol("").setRawPredictionCol("")
+        out = named.transform(out)
     votes = [
         sum((F.when(F.col(f"__p{i}") == float(c), F.lit(a)).otherwise(0.0) for i, (a, _) in enumerate(fitted)), F.lit(0.0))
         for c in range(classes)

@@ -85,29 +85,28 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
         return pd.DataFrame({"rep": group["rep"], "bound": bound})
 
     bounds = chunked.groupBy("cell", "part").applyInPandas(own, "rep bigint, bound double")
-    rings = [
-        (r["cell"], r["part"], r["lo"], r["hi"])
-        for r in chunked.groupBy("cell", "part").agg(F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi")).collect()
-    ]
-    ring = np.array(rings, dtype=float).reshape(-1, 4)  # one row per chunk of `chunk` distinct vectors
+    rings = chunked.groupBy("cell", "part").agg(F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi"))
+    rings = cut_lineage(rings)  # one row per chunk
+    reach = sorted(tuple(r) for r in rings.groupBy("cell").agg(F.min("lo"), F.max("hi")).collect())
+    shells = df.sparkSession.sparkContext.broadcast((centres, np.array(reach, dtype=float).reshape(-1, 3)))  # at most 2048 cells
 
-    # A query visits a chunk unless the ring around its pivot lies beyond the bound.
+    # A query visits a cell, then a ring of it, unless that lies beyond the bound.
     def visits(batches):
+        points, shell = shells.value
         for b in batches:
             if not len(b):
                 continue
-            x = np.stack(b["x"].to_numpy())
-            d = _distances(x, centres)[:, ring[:, 0].astype(int)]
-            gap = np.maximum(np.maximum(ring[None, :, 2] - d, d - ring[None, :, 3]), 0.0)
-            q, c = np.nonzero(gap <= b["bound"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK)
-            yield pd.DataFrame({
-                "qrep": b["rep"].to_numpy()[q], "qx": b["x"].to_numpy()[q],
-                "cell": ring[c, 0].astype("int32"), "part": ring[c, 1].astype("int32"),
-                "lane": (b["rep"].to_numpy()[q] % 1000003).astype("int64"),
-            })
+            d = _distances(np.stack(b["x"].to_numpy()), points)[:, shell[:, 0].astype(int)]
+            gap = np.maximum(np.maximum(shell[None, :, 1] - d, d - shell[None, :, 2]), 0.0)
+            room = b["bound"].to_numpy() * (1 + _SLACK) + _SLACK
+            q, c = np.nonzero(gap <= room[:, None])
+            yield pd.DataFrame({"qrep": b["rep"].to_numpy()[q], "qx": b["x"].to_numpy()[q], "cell": shell[c, 0].astype("int32"),
+                                "away": d[q, c], "room": room[q]})
 
     asked = chunked.join(bounds, "rep").select("rep", "x", "bound").mapInPandas(
-        visits, "qrep bigint, qx array<double>, cell int, part int, lane bigint")
+        visits, "qrep bigint, qx array<double>, cell int, away double, room double")
+    asked = asked.join(rings, "cell").where(F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi")) <= F.col("room")).select(
+        "qrep", "qx", "cell", "part", F.pmod("qrep", F.lit(1000003)).alias("lane"))
     # Queries of a busy chunk are spread over lanes so that no task meets them all.
     load = asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4.0 * chunk)).cast("int").alias("lanes"))
     load = cut_lineage(load)  # one row per chunk

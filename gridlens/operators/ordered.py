@@ -42,11 +42,17 @@ def row_number(name: str) -> Step:
     return Step(name, "count", F.lit(1))
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Row count of the biggest group; one narrow scan with map-side counts."""
+def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """(rows of the biggest group, all rows); one narrow scan with map-side counts."""
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        rows = df.count()
+        return rows, rows
+    row = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    return group_sizes(df, by)[0]
 
 
 def scan(df: DataFrame, by: list[str], order: list, steps: list[Step], split: bool | None = None) -> DataFrame:
@@ -55,10 +61,14 @@ def scan(df: DataFrame, by: list[str], order: list, steps: list[Step], split: bo
     ``order`` must decide the place of each row (end it with a unique id). For values
     of the following row, reverse the order. ``split`` forces one of the two plans.
     """
-    if split is None:
-        split = largest_group(df, by) > max_group_rows(df.sparkSession)
     order = [col(o) for o in order]
-    return _split_scan(df, by, order, steps) if split else _plain_scan(df, by, order, steps)
+    spark = df.sparkSession
+    blocks, limit = int(spark.conf.get("spark.sql.shuffle.partitions")), max_group_rows(spark)
+    if split is None:
+        largest, total = group_sizes(df, by)
+        split = largest > limit
+        blocks = max(blocks, -(-total // limit))  # a block is no wider than a group may be
+    return _split_scan(df, by, order, steps, blocks) if split else _plain_scan(df, by, order, steps)
 
 
 def _over(step: Step, value: Column, window) -> Column:
@@ -78,8 +88,7 @@ def _plain_scan(df, by, order, steps):
     return df.select("*", *[_over(s, s.value, window).alias(s.name) for s in steps])
 
 
-def _split_scan(df, by, order, steps):
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _split_scan(df, by, order, steps, blocks):
     inputs = {s.name: f"__in{i}" for i, s in enumerate(steps)}
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     prepared = df.select("*", key.alias("__key"), *[s.value.alias(inputs[s.name]) for s in steps])

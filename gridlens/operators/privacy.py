@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.functions.aggregates import correlation
 from gridlens.functions.hashing import laplace, unit
 from gridlens.functions.scalar import clip
 from gridlens.operators.clean import replace_columns
@@ -118,8 +119,8 @@ def correlation_change(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> Data
     wanted = {}
     for i, a in enumerate(names):
         for b in names[i + 1:]:
-            wanted[(a, b, 0)] = F.corr(pairs[a][0], pairs[b][0])
-            wanted[(a, b, 1)] = F.corr(pairs[a][1], pairs[b][1])
+            wanted[(a, b, 0)] = correlation(pairs[a][0], pairs[b][0])
+            wanted[(a, b, 1)] = correlation(pairs[a][1], pairs[b][1])
     found = agg_row(df, wanted, batch=100)
     rows = [(a, b, found[(a, b, 0)], found[(a, b, 1)]) for i, a in enumerate(names) for b in names[i + 1:]]
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr_before double, corr_after double")

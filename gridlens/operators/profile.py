@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gridlens.functions.scalar import col, finite, inverse_normal, ratio
 from gridlens.operators import ordered
+from gridlens.operators.pairwise import correlations
 from gridlens.operators.quantiles import agg_row, column_quantiles, group_quantiles
 
 def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], label: str = "column_name", batch: int = 25) -> DataFrame:
@@ -155,9 +156,8 @@ def pattern_summary(df: DataFrame, by: list[str], source: str, severity: str, si
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each ordered pair, long form. The upper triangle is computed once."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     found = {}
-    for (a, b), r in agg_row(df, {p: F.corr(*p) for p in pairs}, batch=100).items():
+    for (a, b), r in correlations(df, columns).items():
         found[(a, b)] = found[(b, a)] = r
     varied = agg_row(df, {c: F.var_pop(c) for c in columns})
     rows = [

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.functions.aggregates import correlation
 from gridlens.operators.profile import long_form
+from gridlens.operators.pairwise import correlations
 from gridlens.operators.quantiles import agg_row, column_quantiles
 
 
@@ -22,10 +24,9 @@ def variance_filter(df: DataFrame, columns: list[str], threshold: float = 0.01,
 def correlation_prune(df: DataFrame, columns: list[str], threshold: float = 0.9) -> list[str]:
     """Columns to drop: those whose absolute correlation with any earlier column is above the threshold.
 
-    The k x k matrix is one aggregate row; only that row reaches the driver.
+    Only the k x k matrix reaches the driver.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    corr = agg_row(df, {p: F.corr(*p) for p in pairs}, batch=100)
+    corr = correlations(df, columns)
     return [b for j, b in enumerate(columns) if any(abs(corr[(a, b)] or 0.0) > threshold for a in columns[:j])]
 
 
@@ -81,7 +82,7 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
 
 def target_correlation(df: DataFrame, columns: list[str], target: str, k: int | None = None) -> DataFrame:
     """Absolute correlation with the target, best first."""
-    found = long_form(df, {c: {"abs_corr": F.abs(F.corr(c, target))} for c in columns})
+    found = long_form(df, {c: {"abs_corr": F.abs(correlation(c, target))} for c in columns})
     return found if k is None else found.orderBy(F.desc_nulls_last("abs_corr"), "column_name").limit(k)
 
 

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("GRIDLENS_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlens.functions.names import sanitise_columns
+from gridlens.functions.names import sanitise
 from gridlens.functions.scalar import folder_label
 
 
@@ -14,24 +14,32 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """CSV with a header. Pass a schema; inference reads the data twice and is for exploration."""
     reader = spark.read.option("header", True)
     if schema is None:
-        return sanitise_columns(reader.option("inferSchema", True).csv(path))
+        # Names come from the header line itself: the reader would number those that differ in case only.
+        header = spark.read.csv(path).first()
+        return reader.option("inferSchema", True).csv(path).toDF(*sanitise([h or "" for h in header]))
     return reader.schema(schema).csv(path)
 
 
 def read_folder(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
     """All matching files below a folder as (rows, rejects), with the file of each row as ``source_path``.
 
-    Unreadable files are skipped; lines that do not fit the schema are the rejects.
+    Unreadable files are skipped. A line is a reject if a value does not fit its column's type; each is
+    read as text and converted here, so that the verdict does not depend on the columns asked for.
     """
-    columns = T.StructType.fromDDL(schema).fieldNames()
-    rows = (
+    fields = T.StructType.fromDDL(schema).fields
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    raw = (
         spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-        .schema(f"{schema}, _bad string").csv(path)
+        .option("ignoreCorruptFiles", True).schema(text).csv(path)
         .select("*", F.col("_metadata.file_path").alias("source_path"))
     )
-    good = rows.where("_bad is null").select(*columns, "source_path")
-    return good, rows.where("_bad is not null").select(F.col("_bad").alias("line"), "source_path")
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields}
+    bad = F.lit(False)
+    for f in fields:
+        bad = bad | (F.col(f"`{f.name}`").isNotNull() & typed[f.name].isNull())
+    good = raw.where(~bad).select(*[c.alias(n) for n, c in typed.items()], "source_path")
+    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in fields])
+    return good, raw.where(bad).select(line.alias("line"), "source_path")
 
 
 def with_folder_label(df: DataFrame, name: str = "attack_type", skip: int = 4) -> DataFrame:
