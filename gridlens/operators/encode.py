@@ -9,6 +9,7 @@ from gridlens.functions.scalar import col
 from gridlens.operators import ordered
 from gridlens.operators.clean import replace_columns
 from gridlens.operators.quantiles import agg_row, column_quantiles
+from gridlens.session import lookup
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -22,10 +23,10 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
 def encode_with(df: DataFrame, column: str, codes: DataFrame, name: str, missing: int | None = None) -> DataFrame:
     """Attach codes from a dictionary; unknown and null values get ``missing``.
 
-    No broadcast is forced: a small dictionary is broadcast by its measured size, a
-    large one is joined by shuffle, where skewed values are split at run time.
+    A small dictionary is broadcast by its counted size, a large one is joined by shuffle, where
+    skewed values are split at run time.
     """
-    joined = df.join(codes.select(F.col("value").alias("__v"), F.col("code").alias(name)), F.col(column) == F.col("__v"), "left")
+    joined = df.join(lookup(codes.select(F.col("value").alias("__v"), F.col("code").alias(name))), F.col(column) == F.col("__v"), "left")
     code = F.col(name) if missing is None else F.coalesce(F.col(name), F.lit(missing))
     return joined.select(*df.columns, code.cast("bigint").alias(name))
 
@@ -38,7 +39,7 @@ def label_encode(df: DataFrame, column: str, name: str, null_text: str | None =
 
 
 def label_decode(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:
-    joined = df.join(codes.select(F.col("code").alias("__k"), F.col("value").alias(name)), F.col(column) == F.col("__k"), "left")
+    joined = df.join(lookup(codes.select(F.col("code").alias("__k"), F.col("value").alias(name))), F.col(column) == F.col("__k"), "left")
     return joined.select(*df.columns, name)
 
 

@@ -11,6 +11,7 @@ from gridlens.operators import ordered
 from gridlens.operators.pairwise import correlations
 from gridlens.operators.quantiles import agg_row, column_quantiles, group_quantiles
 
+
 def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], label: str = "column_name", batch: int = 25) -> DataFrame:
     """One row per key of ``stats`` with its named aggregates as columns.
 
@@ -32,12 +33,14 @@ def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], label: str = "
         out = out.unionByName(p)
     return out
 
+
 def sample_skewness(c: Column | str) -> Column:
     """Bias-corrected skewness (null below three values)."""
     x = col(c).cast("double")
     n = F.count(x).cast("double")
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
 
+
 def sample_kurtosis(c: Column | str) -> Column:
     """Bias-corrected excess kurtosis (null below four values)."""
     x = col(c).cast("double")
@@ -45,6 +48,7 @@ def sample_kurtosis(c: Column | str) -> Column:
     below = F.nullif((n - 2) * (n - 3), F.lit(0.0))
     return F.when(n > 3, (n - 1) / below * ((n + 1) * F.kurtosis(x) + 6))
 
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max per column (quartiles are exact)."""
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
@@ -57,6 +61,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         }
     return long_form(df, stats)
 
+
 def advanced_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, deviation, variance, skewness and excess kurtosis (sample versions)."""
     medians = column_quantiles(df, columns, [0.5])
@@ -68,6 +73,7 @@ def advanced_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns
     })
 
+
 def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Null count and percent per column."""
     total = F.count(F.lit(1))
@@ -76,11 +82,13 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         for c in (columns or df.columns)
     })
 
+
 def distinct_profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column, exact or by a HyperLogLog++ sketch."""
     count = F.approx_count_distinct if approximate else F.count_distinct
     return long_form(df, {c: {"n_distinct": count(F.col(c))} for c in (columns or df.columns)}, batch=10)
 
+
 def binary_columns(df: DataFrame, columns: list[str] | None = None, zero_one: bool = False) -> list[str]:
     """Columns with exactly two distinct values (of 0 and 1 only, if asked), without counting distincts.
 
@@ -96,6 +104,7 @@ def binary_columns(df: DataFrame, columns: list[str] | None = None, zero_one: bo
     only = agg_row(df, {c: F.bool_and(F.col(c).isin(ends[("lo", c)], ends[("hi", c)])) for c in varied})
     return [c for c in varied if only[c]]
 
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows; copies meet map-side before the shuffle."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(
@@ -103,17 +112,20 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
     )
 
+
 def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Rows per value; the k most frequent (value order on ties) if asked."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counts if k is None else counts.orderBy(F.desc("n"), F.asc(column)).limit(k)
 
+
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Count and share per class. The total is the sum of the class counts, not a second scan."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("share", ratio("n", F.lit(total)))
 
+
 def data_profile(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """One row per column: rows, missing, distinct, and moments for numeric columns."""
     # Distinct counts expand each row per column, so they stay apart from the moments.
@@ -154,6 +166,7 @@ def pattern_summary(df: DataFrame, by: list[str], source: str, severity: str, si
     )
     return numbers.join(counts, by, "left").join(lists, by, "left")
 
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each ordered pair, long form. The upper triangle is computed once."""
     found = {}
@@ -165,11 +178,13 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     ]
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")
 
+
 def top_variance(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     return long_form(df, {c: {"variance": F.var_samp(c)} for c in columns}).orderBy(
         F.desc("variance"), "column_name"
     ).limit(k)
 
+
 def box_stats(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (outermost values inside the fences) and rows beyond them."""
     stats = {}
@@ -183,6 +198,7 @@ def box_stats(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFra
         }
     return long_form(df, stats)
 
+
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Outlier count and percent per column."""
     stats = {}
@@ -192,6 +208,7 @@ def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> Data
         stats[c] = {"n_outliers": beyond, "outlier_pct": ratio(beyond, F.count(c)) * 100}
     return long_form(df, stats)
 
+
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between the extremes; the last bin includes its upper end; empty bins show as 0."""
     ends = agg_row(df, {"lo": F.min(column), "hi": F.max(column)})
@@ -205,6 +222,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         "bin", (F.lit(lo) + F.col("bin") * width).alias("bin_low"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
+
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value against the normal quantile of its mean plotting position (rank - 0.5) / n.
 
@@ -218,6 +236,7 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     position = (F.col("upto") - F.col("n") / 2.0) / float(max(total, 1))
     return upto.select("value", "n", inverse_normal(position).alias("normal_quantile"))
 
+
 def normality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Jarque-Bera statistic and p-value (chi-squared, two degrees) from population moments."""
     stats = {}
@@ -226,6 +245,7 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
         stats[c] = {"n": F.count(c), "jarque_bera": jb, "p_value": F.exp(-jb / 2.0)}
     return long_form(df, stats)
 
+
 def ks_normality(df: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov distance to the normal with the sample's mean and deviation."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
@@ -235,6 +255,7 @@ def ks_normality(df: DataFrame, column: str) -> DataFrame:
     found = KolmogorovSmirnovTest.test(sample, "x", "norm", moments["m"], moments["s"])
     return found.select("statistic", F.col("pValue").alias("p_value"))
 
+
 def welch_density(df: DataFrame, order: list, value: str, segment: int = 256) -> DataFrame:
     """Mean one-sided periodogram of Hann-windowed segments with half overlap (unit sampling rate).
 
@@ -268,10 +289,12 @@ def welch_density(df: DataFrame, order: list, value: str, segment: int = 256) ->
         "frequency", F.col("bin") / float(segment)
     )
 
+
 def activity(df: DataFrame, ts: str, unit: str) -> DataFrame:
     """Records per hour, day …"""
     return df.groupBy(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
+
 def peak_buckets(counts: DataFrame, k: int = 10, spread: float = 2.0) -> DataFrame:
     """Buckets with a count above mean + 2 sample deviations, the k largest."""
     m = agg_row(counts, {"mean": F.avg("n"), "std": F.stddev_samp("n")})
@@ -281,6 +304,7 @@ def peak_buckets(counts: DataFrame, k: int = 10, spread: float = 2.0) -> DataFra
         .withColumn("mean_n", F.lit(m["mean"])).withColumn("threshold", F.lit(threshold))
     )
 
+
 def rate_by(df: DataFrame, by: str, flag: Column) -> DataFrame:
     """Share of rows with the flag per group."""
     return df.groupBy(by).agg(
@@ -288,11 +312,13 @@ def rate_by(df: DataFrame, by: str, flag: Column) -> DataFrame:
         F.avg(flag.cast("double")).alias("rate"),
     )
 
+
 def crosstab(df: DataFrame, row: str, flag: str, values: list) -> DataFrame:
     """Counts of each value of ``flag`` per ``row`` as columns; the values are stated, so no extra job runs."""
     pivoted = df.groupBy(row).pivot(flag, values).agg(F.count(F.lit(1)))
     return pivoted.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{flag}_{v}") for v in values])
 
+
 def batch_rate(df: DataFrame, order: list, flag: Column, size: int = 1000) -> DataFrame:
     """Share of flagged rows in each run of ``size`` rows in order."""
     rows = df.select("*", flag.cast("int").alias("__flag"))
@@ -302,6 +328,7 @@ def batch_rate(df: DataFrame, order: list, flag: Column, size: int = 1000) -> Da
         (F.sum("__flag") / F.count(F.lit(1))).alias("rate"),
     )
 
+
 def row_stats(features: Column | str) -> dict[str, Column]:
     """Mean, population deviation, min and max over the elements of an array column."""
     x = col(features).cast("array<double>")
@@ -316,6 +343,7 @@ def row_stats(features: Column | str) -> dict[str, Column]:
         "row_max": F.array_max(x),
     }
 
+
 def finite_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[finite(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.scalar import col, ipv4_to_long
+from gridlens.session import LOOKUP_ROWS, cut_lineage, lookup
 
 # Words that mark attack and benign text, and names of normal traffic.
 ATTACK_WORDS = ("attack", "malicious", "anomaly", "error", "intrusion")
@@ -41,17 +42,17 @@ def offending_sources(df: DataFrame, source: str, label: str, normal: str = "nor
 
 def exclude(df: DataFrame, block_list: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is not listed. The list's measured size decides between broadcast and shuffle."""
-    return df.join(block_list.select(*on).distinct(), on, "left_anti")
+    return df.join(lookup(block_list.select(*on).distinct()), on, "left_anti")
 
 
 def include(df: DataFrame, allow_list: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(allow_list.select(*on).distinct(), on, "left_semi")
+    return df.join(lookup(allow_list.select(*on).distinct()), on, "left_semi")
 
 
 def firewall_check(df: DataFrame, source: str, port: str, black: DataFrame, ports: DataFrame) -> DataFrame:
     """``allowed`` = source not listed in ``black(ip)`` and port listed in ``ports(port)``."""
-    blacklist = black.select(F.col("ip").alias(source)).distinct().withColumn("__listed", F.lit(True))
-    allowed = ports.select(F.col("port").alias(port)).distinct().withColumn("__open", F.lit(True))
+    blacklist = lookup(black.select(F.col("ip").alias(source)).distinct().withColumn("__listed", F.lit(True)))
+    allowed = lookup(ports.select(F.col("port").alias(port)).distinct().withColumn("__open", F.lit(True)))
     marked = df.join(blacklist, source, "left").join(allowed, port, "left")
     return marked.select(*df.columns, (F.col("__listed").isNull() & F.col("__open").isNotNull()).alias("allowed"))
 
@@ -61,14 +62,16 @@ def cidr_action(df: DataFrame, ip: str, rules: DataFrame, default: str = "ALLOW"
 
     An address lies in a prefix of length n exactly if their first n bits are equal, so the
     range join becomes one equi-join per distinct prefix length (at most 33), most specific
-    first. Joins keep one row per address; nothing is exploded or compared pairwise.
+    first. Joins keep one row per address; nothing is exploded or compared pairwise. A rule table of
+    ordinary size is broadcast, and the rows are not moved at all.
     """
-    active = rules.where("active").select(
+    active = cut_lineage(rules.where("active").select(
         "rule_id", "action",
         F.split("src_cidr", "/")[1].cast("int").alias("bits"),
         ipv4_to_long(F.split("src_cidr", "/")[0]).alias("net"),
-    )
-    lengths = sorted((r[0] for r in active.select("bits").distinct().collect()), reverse=True)
+    ))
+    sizes = {r[0]: r[1] for r in active.groupBy("bits").agg(F.count(F.lit(1))).collect()}  # at most 33 rows
+    lengths = sorted(sizes, reverse=True)
     out = df.withColumn("__ip", ipv4_to_long(ip))
     for n in lengths:
         best = (
@@ -76,6 +79,7 @@ def cidr_action(df: DataFrame, ip: str, rules: DataFrame, default: str = "ALLOW"
             .groupBy(F.shiftright("net", 32 - n).alias(f"__net{n}"))
             .agg(F.min(F.struct("rule_id", "action")).alias(f"__hit{n}"))
         )
+        best = F.broadcast(best) if sizes[n] <= LOOKUP_ROWS else best
         out = out.withColumn(f"__net{n}", F.shiftright("__ip", 32 - n)).join(best, f"__net{n}", "left")
     hit = F.coalesce(*[F.col(f"__hit{n}") for n in lengths]) if lengths else F.lit(None).cast("struct<rule_id:int,action:string>")
     return out.select(*df.columns, hit["rule_id"].alias("rule_id"), F.coalesce(hit["action"], F.lit(default)).alias("action"))
@@ -116,7 +120,7 @@ def auto_block(df: DataFrame, source: str, order: list[str], confidence: str, th
     """
     point = F.struct(*order)
     first = df.where(F.col(confidence) > threshold).groupBy(source).agg(F.min(point).alias("__blocked_at"))
-    joined = df.join(first, source, "left").where(F.col("__blocked_at").isNull() | (point <= F.col("__blocked_at")))
+    joined = df.join(lookup(first), source, "left").where(F.col("__blocked_at").isNull() | (point <= F.col("__blocked_at")))
     return joined.select(*df.columns, (point == F.col("__blocked_at")).alias("__b")).withColumn(
         "blocks", F.coalesce("__b", F.lit(False))
     ).drop("__b")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest number of rows one window group or one collected bracket may hold
 #: before an operator switches to its split plan.
@@ -60,3 +61,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a narrow lookup table that may be broadcast.
+LOOKUP_ROWS = 200_000
+
+
+def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A narrow table to join with: written once, counted, and broadcast only if it is small.
+
+    Aggregates and local tables have no size the optimizer knows, so without this a large table
+    would be shuffled, on a possibly skewed key, to meet a list of a few rows. A larger lookup keeps
+    the ordinary join, where skewed keys are split at run time.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= rows else held

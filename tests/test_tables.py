@@ -308,7 +308,7 @@ def test_wide_correlations_equal_pairwise_ones(spark, monkeypatch):
     from gridlens.operators import pairwise
 
     draw = np.random.default_rng(9)
-    x = draw.normal(size=(300, 5)) @ draw.normal(size=(5, 5)) * np.array([1e6, 1, 1e-6, 1, 1]) + 1e3
+    x = draw.normal(size=(300, 5)) @ draw.normal(size=(5, 5)) * np.array([1e6, 1, 1e-6, 1, 1]) + np.array([1e3, 1e3, 0, 1e3, 1e3])
     x[:, 4] = 7.0
     for holes in (False, True):
         rows = [[None if holes and draw.random() < 0.1 else float(v) for v in r] for r in x]
