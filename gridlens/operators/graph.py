@@ -77,7 +77,7 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 def node_sample(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Edges among n nodes drawn by hash order."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = nodes.orderBy(hash31("node", seed), "node").limit(n)
+    chosen = cut_lineage(nodes.orderBy(hash31("node", seed), "node").limit(n))
     return edges.join(chosen.select(F.col("node").alias("a")), "a", "left_semi").join(
         chosen.select(F.col("node").alias("b")), "b", "left_semi"
     ).select("a", "b")

@@ -184,3 +184,22 @@ def _(t):
     rows = table.read(t.spark)
     last = rows.agg(F.max("batch")).first()[0]
     return rows.where(F.col("batch") == last).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_sessions", """
+WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+r AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM n GROUP BY user_id, session)
+SELECT * FROM r WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
+def _(t):
+    path = scratch(t.spark, "stream")
+    streams.run_available(streams.session_counts(_stream(t), "user_id"), f"{path}/checkpoint", path=f"{path}/out")
+    rows = t.spark.read.schema("user_id bigint, session_start timestamp, session_end timestamp, n bigint").parquet(f"{path}/out")
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query("stream_distinct", "SELECT event_id FROM events")
+def _(t):
+    path = scratch(t.spark, "stream")
+    streams.run_available(streams.without_repeats(_stream(t), "event_id").select("event_id"), f"{path}/checkpoint", path=f"{path}/out")
+    return t.spark.read.schema("event_id bigint").parquet(f"{path}/out")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlens.functions.hashing import hash31_sql
 from gridlens.functions.scalar import micros
 from gridlens.operators import graph, joins, ordered, profile, rules, sequence
 from gridlens.plans.common import ALERTS_SQL, NUMERIC, PACKETS_SQL, event_alerts, packets, rounded
@@ -535,6 +536,14 @@ def _(t):
     return graph.component_sizes(graph.components(_component_edges(t))).orderBy(F.desc("n_nodes"), "component").limit(1)
 
 
+@query("graph_sample", f"""
+WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem),
+n AS (SELECT node FROM (SELECT a AS node FROM e UNION SELECT b FROM e) ORDER BY {hash31_sql('node', 42)}, node LIMIT 500)
+SELECT a, b FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)""")
+def _(t):
+    return graph.node_sample(graph.undirected_edges(t.lineitem, "l_suppkey", "l_partkey"), 500)
+
+
 # ---- batch twins of the streaming rules -------------------------------------------------------------
 
 @query("auto_block", f"""
