@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlens.functions.frames import decode_frames
+from gridlens.functions.frames import decode_frames, valid_frames
 from gridlens.operators.rules import is_command, is_unknown_cause
 from gridlens.plans.common import PACKETS_SQL, event_alerts, packets, rounded
 from gridlens.plans.registry import query
-from gridlens.session import scratch
+from gridlens.session import cut_lineage, scratch
 from gridlens.sources import pcap
 from gridlens.streaming import streams
 
@@ -92,7 +92,8 @@ def _frames(t):
     low = lambda v: F.concat(_hex(F.pmod(v, F.lit(256)), 2), _hex(F.pmod(F.floor(v / 256).cast("int"), F.lit(256)), 2))
     objects = F.when(kind == 9, F.concat(low(k - 50), F.lit("07"), low(k), F.lit("01"))).otherwise(F.concat(_hex(k, 2), _hex(k + 1, 2)))
     bytes_ = F.concat(start, F.lit("0E" "00000000"), _hex(kind, 2), F.lit("82"), _hex(F.pmod("user_id", F.lit(48)), 2), F.lit("0102"), objects)
-    return t.events.select("event_id", F.unhex(bytes_).alias("payload"))
+    # Frames arrive as a table of bytes; written once, they are not built again for every test of a byte.
+    return cut_lineage(t.events.select("event_id", F.unhex(bytes_).alias("payload")))
 
 
 @query("frame_decode", f"""
@@ -101,7 +102,7 @@ WITH {FRAMES_SQL} SELECT event_id, type, 130 AS vsq, cot, 513 AS addr,
   CASE WHEN type = 1 THEN k % 2 WHEN type = 9 THEN k - 50 END AS first_value,
   CASE WHEN type = 1 THEN k // 2 WHEN type = 9 THEN 7 END AS first_quality FROM f""")
 def _(t):
-    found = decode_frames(_frames(t)).where("frame is not null")
+    found = decode_frames(valid_frames(_frames(t)))
     first = F.try_element_at(F.col("frame.asdu.objects"), F.lit(1))
     return found.select("event_id", "frame.asdu.type", "frame.asdu.vsq", "frame.asdu.cot", "frame.asdu.addr",
                         F.size("frame.asdu.objects").alias("n_objects"), first["value"].alias("first_value"), first["quality"].alias("first_quality"))
@@ -110,9 +111,10 @@ def _(t):
 @query("frame_rules", f"""
 WITH {FRAMES_SQL} SELECT event_id, type IN (45, 46, 47) AS is_command, cot IN (41, 42, 43, 44) AS is_unknown_cause FROM f WHERE type IN (45, 46, 47) OR cot IN (41, 42, 43, 44)""")
 def _(t):
-    found = decode_frames(_frames(t)).where("frame is not null")
+    found = decode_frames(valid_frames(_frames(t)))
     command, cause = is_command("frame.asdu.type"), is_unknown_cause("frame.asdu.cot")
-    return found.where(command | cause).select("event_id", command.alias("is_command"), cause.alias("is_unknown_cause"))
+    flagged = found.select("event_id", command.alias("is_command"), cause.alias("is_unknown_cause"))
+    return flagged.where("is_command OR is_unknown_cause")
 
 
 # ---- streams over the events file ------------------------------------------------------------

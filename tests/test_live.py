@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gridlens.functions.frames import decode_frames, decode_packets
+from gridlens.functions.frames import decode_frames, decode_packets, valid_frames
 from gridlens.operators.rules import is_command, is_unknown_cause
 from gridlens.sources import pcap
 from gridlens.streaming import streams
@@ -34,6 +34,11 @@ def test_frames(spark):
     assert command.length == 254 and command.asdu.objects == []
 
 
+def test_valid_frames_are_the_decodable_ones(spark):
+    df = spark.createDataFrame([(bytearray(p),) for p in (bytes([0x68, 4, 0, 0, 0, 0]), bytes([0x68, 4, 0]), b"\x69" * 8, b"")], "payload binary")
+    assert valid_frames(df).count() == decode_frames(df).where("frame is not null").count() == 1
+
+
 def test_frame_rules(spark):
     df = spark.createDataFrame([(45, 3), (1, 44), (1, 40), (48, 45)], "t int, c int")
     assert [tuple(r) for r in df.select(is_command("t"), is_unknown_cause("c")).collect()] == [
