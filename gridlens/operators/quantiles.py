@@ -101,33 +101,39 @@ def order_statistics(df: DataFrame, counts: dict, targets: list[tuple[str, int]]
         for t in wide:
             values = used[(t[0], span[t][0], span[t][1])]
             cuts[t] = (next(values), next(values))
+        # Neighbouring targets mostly share their cuts; each cut is counted once.
         tally = {}
         for t in wide:
-            lo, hi = cuts[t]
-            x = F.col(t[0])
-            for tag, hit in (("lt", x < lo), ("le", x <= lo), ("lth", x < hi), ("leh", x <= hi)):
-                tally[(t, tag)] = F.count(F.when(hit, 1))
+            for cut in cuts[t]:
+                tally.setdefault((t[0], cut, "lt"), F.count(F.when(F.col(t[0]) < cut, 1)))
+                tally.setdefault((t[0], cut, "le"), F.count(F.when(F.col(t[0]) <= cut, 1)))
         seen = agg_row(df, tally)
         for t in wide:
             lo, hi = cuts[t]
             rank, (low, high, below, rows) = t[1], span[t]
-            if rank < seen[(t, "lt")]:
-                span[t] = (low, lo, below, seen[(t, "lt")] - below)
-            elif rank < seen[(t, "le")]:
+            below_lo, upto_lo = seen[(t[0], lo, "lt")], seen[(t[0], lo, "le")]
+            below_hi, upto_hi = seen[(t[0], hi, "lt")], seen[(t[0], hi, "le")]
+            if rank < below_lo:
+                span[t] = (low, lo, below, below_lo - below)
+            elif rank < upto_lo:
                 found[t] = lo
-            elif rank < seen[(t, "lth")]:
-                span[t] = (lo, hi, seen[(t, "le")], seen[(t, "lth")] - seen[(t, "le")])
-            elif rank < seen[(t, "leh")]:
+            elif rank < below_hi:
+                span[t] = (lo, hi, upto_lo, below_hi - upto_lo)
+            elif rank < upto_hi:
                 found[t] = hi
             else:
-                span[t] = (hi, high, seen[(t, "leh")], below + rows - seen[(t, "leh")])
-    rest = [t for t in span if t not in found]
-    picks = {}
-    for t in rest:
-        low, high, below, _ = span[t]
-        kept = F.collect_list(F.when(inside(t[0], low, high), F.col(t[0])))  # at most `limit` values
-        picks[t] = F.element_at(F.sort_array(kept), t[1] - below + 1)
-    found.update(agg_row(df, picks, batch=10) if picks else {})
+                span[t] = (hi, high, upto_hi, below + rows - upto_hi)
+    rest = {}
+    for t in span:
+        if t not in found:
+            rest.setdefault((t[0], *span[t][:2]), []).append(t)
+    keys = list(rest)
+    for start in range(0, len(keys), 20):
+        part = keys[start:start + 20]
+        # Each interval is gathered once, at most `limit` values, and all its ranks are read from it.
+        kept = df.agg(*[F.sort_array(F.collect_list(F.when(inside(*k), F.col(k[0])))).alias(f"s{i}") for i, k in enumerate(part)])
+        wanted = [(t, F.element_at(f"s{i}", t[1] - span[t][2] + 1)) for i, k in enumerate(part) for t in rest[k]]
+        found.update(zip([t for t, _ in wanted], kept.select(*[e.alias(f"v{j}") for j, (_, e) in enumerate(wanted)]).first()))
     return found
 
 
