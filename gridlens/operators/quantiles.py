@@ -101,42 +101,74 @@ def order_statistics(df: DataFrame, counts: dict, targets: list[tuple[str, int]]
         for t in wide:
             values = used[(t[0], span[t][0], span[t][1])]
             cuts[t] = (next(values), next(values))
-        # Neighbouring targets mostly share their cuts; each cut is counted once.
-        tally = {}
+        lines = {n: sorted({c for t in wide if t[0] == n for c in cuts[t]}) for n in {t[0] for t in wide}}
+        seen = _counts_at(df, lines)
+        # All cuts of a column narrow each of its targets, so intervals are equal or disjoint.
         for t in wide:
-            for cut in cuts[t]:
-                tally.setdefault((t[0], cut, "lt"), F.count(F.when(F.col(t[0]) < cut, 1)))
-                tally.setdefault((t[0], cut, "le"), F.count(F.when(F.col(t[0]) <= cut, 1)))
-        seen = agg_row(df, tally)
-        for t in wide:
-            lo, hi = cuts[t]
-            rank, (low, high, below, rows) = t[1], span[t]
-            below_lo, upto_lo = seen[(t[0], lo, "lt")], seen[(t[0], lo, "le")]
-            below_hi, upto_hi = seen[(t[0], hi, "lt")], seen[(t[0], hi, "le")]
-            if rank < below_lo:
-                span[t] = (low, lo, below, below_lo - below)
-            elif rank < upto_lo:
-                found[t] = lo
-            elif rank < below_hi:
-                span[t] = (lo, hi, upto_lo, below_hi - upto_lo)
-            elif rank < upto_hi:
-                found[t] = hi
-            else:
-                span[t] = (hi, high, upto_hi, below + rows - upto_hi)
+            low, high, below, rows = span[t]
+            upto = below + rows
+            for cut in lines[t[0]]:
+                if (low is not None and cut <= low) or (high is not None and cut >= high):
+                    continue
+                if t[1] < seen[(t[0], cut, "lt")]:
+                    high, upto = cut, seen[(t[0], cut, "lt")]
+                    break
+                if t[1] < seen[(t[0], cut, "le")]:
+                    found[t] = cut
+                    break
+                low, below = cut, seen[(t[0], cut, "le")]
+            span[t] = (low, high, below, upto - below)
     rest = {}
     for t in span:
         if t not in found:
             rest.setdefault((t[0], *span[t][:2]), []).append(t)
-    keys = list(rest)
-    for start in range(0, len(keys), 20):
-        part = keys[start:start + 20]
+    if rest:
         # Each interval is gathered once, at most `limit` values, and all its ranks are read from it.
-        kept = df.agg(*[F.sort_array(F.collect_list(F.when(inside(*k), F.col(k[0])))).alias(f"s{i}") for i, k in enumerate(part)])
-        wanted = [(t, F.element_at(f"s{i}", t[1] - span[t][2] + 1)) for i, k in enumerate(part) for t in rest[k]]
-        found.update(zip([t for t, _ in wanted], kept.select(*[e.alias(f"v{j}") for j, (_, e) in enumerate(wanted)]).first()))
+        place = {}
+        for i, key in enumerate(rest):
+            hit = place.get(key[0])
+            place[key[0]] = F.when(inside(*key), i) if hit is None else hit.when(inside(*key), i)
+        tags = F.array(*[F.struct(p.alias("k"), F.col(n).alias("x")) for n, p in place.items()])
+        lists = df.select(F.inline(tags)).where("k is not null").groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        keys = list(rest.values())
+        ranks = F.array(*[F.array(*[F.lit(t[1] - span[t][2] + 1) for t in ts]) for ts in keys])
+        picked = lists.select("k", F.transform(F.element_at(ranks, F.col("k") + 1), lambda r: F.element_at("xs", r.cast("int"))))
+        for k, values in picked.collect():
+            found.update(zip(keys[k], values))
     return found
 
 
+def _position(x: Column, cuts: list[float]) -> Column:
+    """2i + 1 where x equals the i-th cut, 2i where it lies below it (and above the one before), by binary search."""
+    def search(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(2 * first)
+        middle = (first + last) // 2
+        cut = F.lit(cuts[middle])
+        return F.when(x < cut, search(first, middle)).when(x == cut, F.lit(2 * middle + 1)).otherwise(search(middle + 1, last))
+
+    return search(0, len(cuts))
+
+
+def _counts_at(df: DataFrame, cuts: dict[str, list[float]]) -> dict:
+    """Rows below and up to each cut of each column: one pass, combined map-side to a few counts per column."""
+    names = list(cuts)
+    places = F.array(*[
+        F.struct(F.lit(i).alias("c"), F.when(F.col(n).isNotNull(), _position(F.col(n), cuts[n])).alias("p")) for i, n in enumerate(names)
+    ])
+    counted = df.select(F.inline(places)).where("p is not null").groupBy("c", "p").agg(F.count(F.lit(1))).collect()
+    found = {(c, p): n for c, p, n in counted}
+    out = {}
+    for i, n in enumerate(names):
+        total = 0
+        for j, cut in enumerate(cuts[n]):
+            total += found.get((i, 2 * j), 0)
+            out[(n, cut, "lt")] = total
+            total += found.get((i, 2 * j + 1), 0)
+            out[(n, cut, "le")] = total
+    return out
+
+
 def group_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], name: str = "q", split: bool | None = None
 ) -> DataFrame:
