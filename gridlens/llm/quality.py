@@ -3,7 +3,8 @@
 A text is a bag of hashed features: its words, its pairs of neighbouring words, and the byte n-grams of its words between boundary marks.
 Each feature has a learned vector; the vectors of a text are averaged and a softmax layer tells the classes apart. Vectors and layer are
 trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows (``sample``, the rows with the least
-hash of their id), with classes weighted to equal shares. Features are made by Spark tasks, the descent runs in one task, and the trained
+hash of their id), with classes weighted to equal shares. A word that follows itself
+is also a feature of its own, the same for all words. Features are made by Spark tasks, the descent runs in one task, and the trained
 model, whose size is fixed, is sent to all tasks that score.
 
 The average and the layer are linear, so a trained model has one number per feature, and a text is scored in one pass over its bytes.
@@ -61,6 +62,10 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashed(start, end, 101)
     if len(start) > 1:
         hashed(start[:-1], end[1:], 102)
+        words = found[-2]  # a word beside itself is one feature, whichever word it is
+        again = start[1:][words[1:] == words[:-1]]
+        found.append(np.full(len(again), 1, np.int32))
+        places.append(again)
     return np.concatenate(found), np.concatenate(places)
 
 
