@@ -2,7 +2,7 @@
 
 A line is a run of tokens, and a token with a digit is a variable field (``<*>``) from the start. The tree has a fixed depth: its first
 level is the number of tokens, the next ones are the leading tokens. What falls into one leaf is one family of lines. In a leaf, a place
-keeps a token that stands there in at least ``share`` of the leaf's lines and is a variable field otherwise; what comes out is the
+keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines and is a variable field otherwise; what comes out is the
 template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
 alike is no family. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
 
@@ -76,8 +76,8 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCU
     several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "busy-texts")
     places = several.select("leaf", "in_leaf", "n", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token")
     kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
-    kept = kept.filter((F.col("token") != FIELD) & (F.col("n") >= share * F.col("in_leaf")) & (F.col("n") > 1))
-    skeletons = kept.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # a token a place, two at most if share is 0.5
+    kept = kept.filter((F.col("token") != FIELD) & (F.col("n") > share * F.col("in_leaf")) & (F.col("n") > 1))
+    skeletons = kept.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # one token a place has over half
     shaped = several.join(skeletons, "leaf", "left")
     general = F.transform("t", lambda x, i: F.when(F.try_element_at("fixed", i) == x, x).otherwise(F.lit(FIELD)))
     shaped = shaped.withColumn("general", general)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import decontaminate, lines, packing, quality, sharding, simhash, tokenfile
+from gridlens.llm import decontaminate, fingerprint, lines, packing, quality, sharding, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dropped(table(spark, sf_dir, "documents"))
     return rows.select("_held.doc_id", F.col("_lines.n").cast("long").alias("n_lines"), F.col("_lines.out").cast("long").alias("n_dropped"), F.col("_lines.text").alias("text"))
+
+
+@query("op7_locally_consistent_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
