@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import chat, decontaminate, fingerprint, lines, packing, quality, sharding, simhash, tokenfile
+from gridlens.llm import chat, decontaminate, fingerprint, lines, packing, quality, sharding, simhash, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     pairs = chat.preference_pairs(turns.select("conv_id", "turn", "role", "text"), chat.mismatched(turns), "conv_id")
     return pairs.select("conv_id", "n_shared", "prompt", "chosen", "rejected", chat.listed("chosen_spans").alias("chosen_spans"), chat.listed("rejected_spans").alias("rejected_spans"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), 200).drop("text")
