@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm import components
-from gridlens.llm.common import plain, shuffle_width, stage
+from gridlens.llm.common import plain, row_key, shuffle_width, stage
 
 RADIUS, WORDS, SEED = 4, 4, 42
 #: Fingerprints of one mask value that a task compares; a larger group is cut by more bits.
@@ -52,15 +52,21 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row."""
+def with_fingerprint(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows of a key and a text become rows of the key and fp (the fingerprint as a signed 64-bit number)."""
+    key = rows.columns[0]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             values = np.array([fingerprint(t, words) for t in frame.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(values)], names=[key, "fp"])
+
+    return rows.mapInArrow(run, rows.select(key, F.lit(0).cast("long").alias("fp")).schema)
+
 
-    return plain(docs).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and fp of every row."""
+    return with_fingerprint(plain(docs), words)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -223,20 +229,34 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         fixed, level = sorted({x for c in below.values() for x in c}), level + 1
 
 
+def groups(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """The different fingerprints of ``nodes`` (column fp, once each) with all their columns and the component ``_c``."""
+    found = components.label(links(nodes, radius, limit)).withColumnRenamed("node", "fp")
+    return nodes.join(found, "fp", "left").withColumn("_c", F.coalesce("least", "fp")).drop("least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach, itself included)."""
     rows = stage(fingerprints(docs, words), "fingerprints")
-    return joined(rows, radius, limit)
-
-
-def joined(rows: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """The components of rows that have doc_id and fp."""
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    found = links(nodes, radius, limit)
-    groups = components.label(found).withColumnRenamed("node", "fp")
-    named = nodes.join(groups, "fp", "left").withColumn("_c", F.coalesce("least", "fp"))
-    named = stage(named.select("fp", "first", "_c"), "fingerprint-components")
+    named = stage(groups(nodes, radius, limit), "fingerprint-components")
     least = named.groupBy("_c").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(least, "_c").select("fp", "component_id")
+    of_fp = stage(named.join(least, "_c").select("fp", "component_id"), "component-ids")
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component: one row each.
+
+    First is the smallest doc_id (null last), then the least hash of id and text; of rows equal in both one stays.
+    """
+    columns = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_held"), *row_key(docs))
+    keys = row_key(docs)
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), keys[0], keys[1]).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = stage(with_fingerprint(rows, words), "fingerprints")
+    nodes = stage(rows.groupBy("fp").agg(F.min("key").alias("first")), "fingerprint-nodes")
+    kept = groups(nodes, radius, limit).groupBy("_c").agg(F.min("first").alias("first")).select("first._id", "first._row")
+    # Rows that are equal in id and text meet by the key that the join has dealt them by.
+    return held.join(stage(kept, "kept-documents"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_held.*")
