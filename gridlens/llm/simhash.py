@@ -218,7 +218,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         finer = rows.join(F.broadcast(lookup), "mask").select(F.explode("finer").alias("mask"), "fp")  # as many masks as blocks make, whatever the data
         keyed = finer.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
         counts = stage(keyed.groupBy("mask", "value").count().filter(F.col("count") > limit).select("mask", "value"), f"simhash-hot-{level}")
-        hot = counts.limit(1).count() > 0
+        hot = [r.mask for r in counts.select("mask").distinct().collect()]  # masks, not groups: as many as blocks make
         plain_rows = keyed.join(counts, ["mask", "value"], "left_anti") if hot else keyed
         dealt = plain_rows.repartition(width, "mask", "value").sortWithinPartitions("mask", "value", "fp")
         part = stage(dealt.mapInArrow(run, "src long, dst long").distinct(), f"simhash-links-{level}")
@@ -226,7 +226,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         if not hot:
             return found
         rows = keyed.join(counts, ["mask", "value"], "left_semi").select("fp", "mask")
-        fixed, level = sorted({x for c in below.values() for x in c}), level + 1
+        fixed, level = [m % (1 << 64) for m in hot], level + 1
 
 
 def groups(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
