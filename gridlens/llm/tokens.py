@@ -63,7 +63,10 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces in strings of some hundred, and cut the ids where the bytes of the pieces end."""
-        if self.drops_blanks:
+        if self.drops_blanks:  # other white space inside a piece, or none at all, would shift the pieces of a string
+            odd = [p for p in pieces if p.split() != [p]]
+            self.known.update(zip(odd, self._whole(odd)))
+            pieces = [p for p in pieces if p not in self.known]
             glue, strings = " ", pieces
         else:
             glue, strings = "", [p if p[:1] == "\n" else " " + p for p in pieces]
