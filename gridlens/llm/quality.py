@@ -40,8 +40,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of some bytes that begin and end with a blank, and the byte position of each."""
+def features(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of texts that each begin and end with a blank, and the text of each feature."""
     blank = _BLANK[data]
     code = _TABLE[np.where(blank, 32, data)]
     head = np.concatenate([np.zeros(1, U), np.cumsum(code * _POWERS[:len(code)], dtype=U)])
@@ -49,7 +49,7 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def hashed(a: np.ndarray, b: np.ndarray, kind: int) -> None:
         found.append((mix((head[b] - head[a]) * _INVERSE[a] + U(kind)) >> shift).astype(np.int32))
-        places.append(a)
+        places.append(owner[a])
 
     inner = np.cumsum(blank)
     n = len(data)
@@ -60,12 +60,12 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
     hashed(start, end, 101)
-    if len(start) > 1:
-        hashed(start[:-1], end[1:], 102)
-        words = found[-2]  # a word beside itself is one feature, whichever word it is
-        again = start[1:][words[1:] == words[:-1]]
-        found.append(np.full(len(again), 1, np.int32))
-        places.append(again)
+    pair = np.flatnonzero(owner[start[:-1]] == owner[start[1:]])
+    hashed(start[pair], end[pair + 1], 102)
+    words = found[-2]  # a word beside itself is one feature, whichever word it is
+    again = pair[words[pair] == words[pair + 1]]
+    found.append(np.full(len(again), 1, np.int32))
+    places.append(owner[start[again]])
     return np.concatenate(found), np.concatenate(places)
 
 
@@ -98,8 +98,8 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(texts)
     found: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
     for part, owner in segments(data, offsets):
-        feature, place = features(part)
-        key = (owner[place].astype(np.int64) << BITS) | feature
+        feature, at = features(part, owner)
+        key = (at.astype(np.int64) << BITS) | feature
         keys, counts = np.unique(key, return_counts=True)
         cuts = np.flatnonzero(np.diff(keys >> BITS)) + 1
         for ks, cs in zip(np.split(keys, cuts), np.split(counts, cuts)):
@@ -129,8 +129,7 @@ class Model:
         data, offsets = text_bytes(texts)
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         for part, owner in segments(data, offsets):
-            feature, place = features(part)
-            at = owner[place]
+            feature, at = features(part, owner)
             total += np.bincount(at, self.weights[feature], len(texts))
             count += np.bincount(at, minlength=len(texts))
         logit = np.clip(total / np.maximum(count, 1) + self.bias, -700, 700)
