@@ -54,13 +54,14 @@ def ratio(a: Column | str, b: Column | str, default: float = 0.0) -> Column:
 
 
 def ipv4_to_long(ip: Column | str) -> Column:
-    """Dotted IPv4 text to its 32-bit value as bigint; null where it is no IPv4 text."""
+    """Dotted IPv4 text to its 32-bit value as bigint; null where it is no IPv4 text
+    or an octet is above 255."""
     text = col(ip)
     parts = F.split(text, r"\.")
     octets = [parts[i].cast("bigint") for i in range(4)]
     value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
     valid = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    return F.when(valid, value)
+    return F.when(valid & (F.greatest(*octets) <= 255), value)
 
 
 def severity_band(confidence: Column | str, scheme: str = "alert") -> Column:

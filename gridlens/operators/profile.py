@@ -188,7 +188,11 @@ def top_variance(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
 def box_stats(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (outermost values inside the fences) and rows beyond them."""
     stats = {}
+    none = F.max(F.lit(None).cast("double"))
     for c, (q1, q2, q3) in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items():
+        if q1 is None:  # a column without values
+            stats[c] = {"q1": none, "median": none, "q3": none, "whisker_low": none, "whisker_high": none, "n_outside": F.count(F.lit(None))}
+            continue
         low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
         x = F.col(c).cast("double")
         stats[c] = {
@@ -203,6 +207,9 @@ def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> Data
     """Outlier count and percent per column."""
     stats = {}
     for c, (q1, q3) in column_quantiles(df, columns, [0.25, 0.75]).items():
+        if q1 is None:  # a column without values
+            stats[c] = {"n_outliers": F.count(F.lit(None)), "outlier_pct": ratio(F.count(F.lit(None)), F.count(c)) * 100}
+            continue
         low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
         beyond = F.count(F.when((F.col(c) < low) | (F.col(c) > high), 1))
         stats[c] = {"n_outliers": beyond, "outlier_pct": ratio(beyond, F.count(c)) * 100}
@@ -212,6 +219,8 @@ def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> Data
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between the extremes; the last bin includes its upper end; empty bins show as 0."""
     ends = agg_row(df, {"lo": F.min(column), "hi": F.max(column)})
+    if ends["lo"] is None:  # a column without values: no edges, no counts
+        return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(None).cast("double").alias("bin_low"), F.lit(0).cast("bigint").alias("n"))
     lo, hi = float(ends["lo"]), float(ends["hi"])
     width = (hi - lo) / bins
     place = F.lit(0) if width == 0 else F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))

@@ -9,8 +9,8 @@ from gridlens.functions.scalar import col, ipv4_to_long
 from gridlens.session import LOOKUP_ROWS, cut_lineage, lookup
 
 # Words that mark attack and benign text, and names of normal traffic.
-ATTACK_WORDS = ("attack", "malicious", "anomaly", "error", "intrusion")
-NORMAL_WORDS = ("normal", "benign", "legitimate", "view", "click")
+ATTACK_WORDS = ("attack", "malicious", "threat", "dos", "mitm", "breach", "intrusion", "exploit")
+NORMAL_WORDS = ("normal", "benign", "legitimate")
 NORMAL_NAMES = ("normal", "benign", "legitimate", "none", "clean", "safe")
 # Command type ids and unknown causes of transmission of the telecontrol protocol.
 COMMAND_TYPES = (45, 46, 47)
