@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.aggregates import correlation
-from gridlens.functions.hashing import hash31
+from gridlens.functions.hashing import M31, hash31
 from gridlens.functions.scalar import col
 from gridlens.operators import ordered
 from gridlens.operators.profile import row_stats
@@ -68,23 +68,19 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> dict:
 
 
 def isolation_forest(df: DataFrame, row_id: str, features: str, trees: int = 100, sample: int = 256, seed: int = 42) -> list[dict]:
-    """Fit: a bounded hash-ordered pool of rows, one group of ``sample`` rows per tree, trees grown in parallel.
+    """Fit: every tree draws its own ``sample`` rows by hash, at every size of the table; trees are grown in parallel.
 
-    The model is ``trees`` arrays of at most 2 x sample nodes, whatever the size of the table.
+    A row is drawn for a tree if its hash with the tree is below a threshold that lets some more than ``sample`` rows through; the
+    first ``sample`` of them by hash are taken. The model is ``trees`` arrays of at most 2 x sample nodes, whatever the size of the table.
     """
-    pool = df.select(F.col(row_id).alias("id"), F.col(features).cast("array<double>").alias("x")).orderBy(
-        hash31("id", seed), "id").limit(trees * sample)
-    pool = cut_lineage(pool)
-    size = pool.count()
-    if size >= trees * sample:
-        # Enough rows: deal them out, each to one tree.
-        dealt = ordered.scan(pool, [], [hash31("id", seed), "id"], [ordered.row_number("rn")], split=False)
-        dealt = dealt.select(((F.col("rn") - 1) % trees).cast("int").alias("tree"), "x")
-    else:
-        # A small table: each tree draws its own hash-ordered sample of it.
-        copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        dealt = ordered.scan(copies, ["tree"], [hash31(F.pmod("id", F.lit(2147483647)) * 65536 + F.col("tree"), seed + 1), "id"],
-                             [ordered.row_number("rn")], split=False).where(F.col("rn") <= sample).select("tree", "x")
+    size = df.count()
+    share = min(1.0, (sample + 6 * sample ** 0.5 + 20) / max(size, 1))
+    key = hash31("id", seed)
+    rows = df.select(F.col(row_id).alias("id"), F.col(features).cast("array<double>").alias("x")).withColumn("key", key)
+    draw = lambda t: hash31(F.col("key") * 65536 + t, seed + 1)
+    chosen = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < int(share * M31))))
+    chosen = cut_lineage(chosen.select("id", "x", "tree", draw(F.col("tree")).alias("drawn")))
+    dealt = ordered.scan(chosen, ["tree"], ["drawn", "id"], [ordered.row_number("rn")], split=False).where(F.col("rn") <= sample).select("tree", "x")
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_grow(int(group["tree"].iloc[0]), np.stack(group["x"].to_numpy()), seed)])

@@ -35,7 +35,7 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node id that can be reached.
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in
@@ -47,7 +47,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = cut_lineage(edges.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v")).distinct())
     signature = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -63,8 +63,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == signature:
             break
         signature = state
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

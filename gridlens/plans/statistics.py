@@ -55,10 +55,10 @@ def _(t):
 
 
 @query("duplicate_rows", """
-SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicates, CAST(sum(n) AS BIGINT) AS n_rows FROM (
-  SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_returnflag)""")
+SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicates, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT *, count(*) AS n FROM (
+  SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 25) GROUP BY ALL)""")
 def _(t):
-    return profile.duplicate_rows(t.lineitem.select("l_suppkey", "l_quantity", "l_discount", "l_returnflag"))
+    return profile.duplicate_rows(t.lineitem.unionByName(t.lineitem.where("l_quantity > 25")))  # rows repeated on purpose, all columns
 
 
 @query("top_sources", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
@@ -475,18 +475,6 @@ def _(t):
 
 # ---- graph ---------------------------------------------------------------------------------------
 
-# Suppliers and parts get disjoint node numbers.
-EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50)"
-
-
-def _edges(t):
-    pairs = t.lineitem.where("l_quantity = 50").select((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p"))
-    return graph.undirected_edges(pairs, "s", "p")
-
-
-ORDERED_EDGES_SQL = EDGES_SQL + ", e AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM edges)"
-
-
 @query("graph_edges", "SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem")
 def _(t):
     return graph.undirected_edges(t.lineitem, "l_suppkey", "l_partkey")
@@ -508,14 +496,14 @@ def _(t):
     return rounded(graph.graph_metrics(graph.undirected_edges(t.lineitem, "l_suppkey", "l_partkey")), ["avg_degree", "density"], 6)
 
 
-# Sparse enough for several components: customers of one day's orders, linked to their priority of that day.
+# Customers, linked to the days of their orders; the two kinds of nodes have even and odd numbers.
 COMPONENT_SQL = """edges AS (SELECT DISTINCT o_custkey * 2 AS a, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) * 2 + 1 AS b
-  FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+  FROM orders),
 twoway AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)"""
 
 
 def _component_edges(t):
-    rows = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(
+    rows = t.orders.select(
         (F.col("o_custkey") * 2).alias("c"), (F.floor(micros("o_orderdate") / 86400000000).cast("bigint") * 2 + 1).alias("d"))
     return graph.undirected_edges(rows, "c", "d")
 

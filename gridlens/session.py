@@ -41,12 +41,15 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set."""
+    """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set; on one machine a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridlens-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

@@ -87,6 +87,23 @@ class BatchTable:
     def before(self, spark: SparkSession, batch: int) -> DataFrame:
         return self.read(spark).where(F.col("batch") < batch).drop("batch")
 
+    def own(self, spark: SparkSession, batch: int) -> DataFrame:
+        """One batch, from its own sub-folder only."""
+        return spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+
+    def last(self, spark: SparkSession, below: int | None = None) -> DataFrame:
+        """The newest batch, or the newest below a number: the one before it is tried first, so that no folder list is needed."""
+        if below is not None:
+            try:
+                return self.own(spark, below - 1).withColumn("batch", F.lit(below - 1).cast("bigint"))
+            except Exception as error:
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+        rows = self.read(spark)
+        rows = rows if below is None else rows.where(F.col("batch") < below)
+        newest_batch = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == F.lit(newest_batch).cast("bigint"))
+
     def read(self, spark: SparkSession) -> DataFrame:
         try:
             return spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.path).parquet(self.path)
@@ -111,8 +128,9 @@ def newest(table: BatchTable, spark: SparkSession, keys: list[str]) -> DataFrame
 def blocking_sink(path: str, source: str, order: list[str], confidence: str, schema: str, threshold: float = 0.9):
     """(accepted rows, per-batch function): rows up to the first confident alert of their source, later ones skipped.
 
-    The block points of earlier batches are one row per blocked source, taken as one more
-    confident row at its old place, so the batch rule needs no second form.
+    The block points so far are one row per blocked source, taken as one more confident row at its old place, so
+    the batch rule needs no second form. Each batch writes all of them anew, so a batch reads one folder of its
+    predecessor and the work doesn't grow with the number of batches.
     """
     accepted = BatchTable(f"{path}/accepted", f"{schema}, blocks boolean")
     blocks = BatchTable(f"{path}/blocks", schema)
@@ -120,11 +138,12 @@ def blocking_sink(path: str, source: str, order: list[str], confidence: str, sch
     def each(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
         names = batch_rows.columns
-        old = blocks.before(spark, batch).select(*names).withColumn("__old", F.lit(True))
+        past = blocks.last(spark, batch).select(*names)
+        old = past.withColumn("__old", F.lit(True))
         both = batch_rows.withColumn("__old", F.lit(False)).unionByName(old)
         kept = auto_block(both, source, order, confidence, threshold).where("not __old").drop("__old")
         accepted.write(kept.select(*names, "blocks"), batch)
-        blocks.write(accepted.read(spark).where(F.col("batch") == batch).where("blocks").select(*names), batch)
+        blocks.write(past.unionByName(accepted.own(spark, batch).where("blocks").select(*names)), batch)
 
     return accepted, each
 
@@ -135,9 +154,7 @@ def ring_buffer(path: str, schema: str, order: list[str], n: int = 100):
 
     def each(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        past = table.read(spark).where(F.col("batch") < batch)
-        last = past.agg(F.max("batch")).first()[0]
-        buffer = past.where(F.col("batch") == F.lit(last).cast("bigint")).select(*batch_rows.columns)
+        buffer = table.last(spark, batch).select(*batch_rows.columns)
         latest = buffer.unionByName(batch_rows).orderBy(*[F.desc(o) for o in order]).limit(n)
         table.write(latest, batch)
 
