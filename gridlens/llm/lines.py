@@ -27,30 +27,35 @@ from pyspark.sql import functions as F
 from gridlens.llm.common import row_key, stage
 
 DEPTH, MIN_DOCUMENTS, SHARE, CONSTANT, LEAST, LONGEST = 3, 5, 0.5, 0.6, 2, 64
+#: Numbers that may be broadcast.
+SMALL = 500_000
 #: A place of a template whose value varies.
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """A line with single blanks between tokens, those with a digit as variable fields."""
-    plain = F.trim(F.when(line.rlike(r"[\t\r]| {2}"), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+def masked(text: Column) -> Column:
+    """A text whose lines have single blanks between tokens and none at their ends, and tokens with a digit as variable fields.
+
+    Most texts are so already, which is cheaper to see than to do.
+    """
+    uneven = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
+    plain = F.when(uneven, F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), " ?\n ?", "\n"))).otherwise(text)
+    numbers = F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+    return F.when(text.rlike("[0-9]"), numbers).otherwise(plain)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """A row per line with text: _id, _row, at (its number), line (masked), whole (its hash), first and second (its surroundings)."""
-    rows = docs.select(*row_key(docs), F.transform(F.split(F.col("text").cast("string"), "\n"), masked).alias("all"))
-    rows = rows.withColumn("some", F.array_distinct(F.filter("all", lambda x: x != "")))
-    for name, salt in (("_a", ""), ("_b", "~")):
-        hashes = F.sort_array(F.transform("some", lambda x, s=salt: F.xxhash64(F.concat(x, F.lit(s)))))
-        rows = rows.withColumn(name, F.slice(hashes, 1, 2))
-    rows = rows.select("_id", "_row", "_a", "_b", F.posexplode("all").alias("at", "line")).filter("line <> ''")
-    own = {"_a": F.xxhash64(F.concat("line", F.lit(""))), "_b": F.xxhash64(F.concat("line", F.lit("~")))}
+    rows = docs.select(*row_key(docs), F.split(masked(F.col("text").cast("string")), "\n").alias("all"))
+    rows = rows.withColumn("_a", F.array_distinct(F.transform(F.array_remove("all", ""), lambda x: F.xxhash64(x))))
+    rows = rows.withColumn("_b", F.slice(F.sort_array(F.transform("_a", lambda x: F.xxhash64(x))), 1, 2)).withColumn("_a", F.slice(F.sort_array("_a"), 1, 2))
+    rows = rows.select("_id", "_row", "_a", "_b", F.posexplode("all").alias("at", "line")).filter("line <> ''").withColumn("whole", F.xxhash64("line"))
+    own = {"_a": F.col("whole"), "_b": F.xxhash64("whole")}
 
     def around(name: str) -> Column:
         return F.coalesce(F.when(F.get(name, F.lit(0)) != own[name], F.get(name, F.lit(0))).otherwise(F.get(name, F.lit(1))), F.lit(0))
 
-    return rows.select("_id", "_row", "at", "line", own["_a"].alias("whole"), around("_a").alias("first"), around("_b").alias("second"))
+    return rows.select("_id", "_row", "at", "line", "whole", around("_a").alias("first"), around("_b").alias("second"))
 
 
 def in_tree(rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -72,7 +77,10 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCU
     busy = stage(counted.join(leaves.select("leaf", "kinds", "in_leaf"), "leaf"), "busy-lines")
     # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its lines.
     several = busy.filter((F.col("kinds") > 1) & (F.col("n_tokens") <= longest)).groupBy("leaf", "whole", "in_leaf").agg(F.sum("n").alias("n"))
-    texts = every.select("whole", "line").join(several.select("whole"), "whole", "left_semi").groupBy("whole").agg(F.first("line").alias("line"))
+    several = stage(several, "several-kinds")
+    wanted = several.select("whole")
+    wanted = F.broadcast(wanted) if several.count() <= SMALL else wanted
+    texts = every.select("whole", "line").join(wanted, "whole", "left_semi").groupBy("whole").agg(F.min("line").alias("line"))
     several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "busy-texts")
     places = several.select("leaf", "in_leaf", "n", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token")
     kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
@@ -96,6 +104,7 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCU
 def dropped(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` (struct ``_held``) with the number of lines, of dropped ones, and the text that is left (struct ``_lines``)."""
     found = stage(templates(docs, **settings), "recurring-lines")
+    found = F.broadcast(found) if found.count() <= SMALL else found
     out = lines(docs).select("whole", "_id", "_row", "at").join(found, "whole", "left_semi").groupBy("_id", "_row").agg(F.collect_set("at").alias("_out"))
     key = row_key(docs)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_held"), key[0].alias("_id"), key[1].alias("_row"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -160,8 +161,9 @@ def plain_lines(rows, depth=3, documents=5, share=0.5, constant=0.6, least=2, lo
         line = re.sub("[ \t\r]+", " ", line) if re.search("[\t\r]| {2}", line) else line
         return re.sub("[^ ]*[0-9][^ ]*", "<*>", line.strip(" "))
 
-    def h(text, salt=""):
-        return fx.signed(xxhash.xxh64_intdigest((text + salt).encode(), 42))
+    def h(text, side):
+        first = fx.signed(xxhash.xxh64_intdigest(text.encode(), 42))
+        return first if side == 0 else fx.signed(xxhash.xxh64_intdigest(struct.pack("<q", first), 42))
 
     occurrences = []
     for k, text in enumerate(rows):
@@ -171,7 +173,7 @@ def plain_lines(rows, depth=3, documents=5, share=0.5, constant=0.6, least=2, lo
         some = {x for x in every if x}
         for at, line in enumerate(every):
             if line and len(line.split(" ")) >= least:
-                around = tuple(min((h(x, s) for x in some if x != line), default=0) for s in ("", "~"))
+                around = tuple(min((h(x, s) for x in some if x != line), default=0) for s in (0, 1))
                 occurrences.append((k, at, line, around))
     leaves = {}
     for _, _, line, around in occurrences:
