@@ -13,9 +13,9 @@ bytes would and needs no text in the bucket.
    Only one place of each long name goes on, so a group of copies goes on once. A name whose long strings are all equal is settled.
 3. Undecided suffixes, near the ends of repeats, are sorted themselves, by the name of their ``length`` bytes.
 
-Names that settle something have 96 bits. Texts lie in a table bucketed by input partition, so each round reads them where they are, and only
-names go to the buckets and a bit per name comes back: a name goes once per partition, however often it is there, so a string that a third
-of all texts share costs a bucket no more than a row per partition. Nothing else moves, and every round is written before the next.
+Names that settle something have 96 bits. Texts lie in a table bucketed by parts of input partitions (a few megabytes, or one longer text), so each round reads them where they are, and only
+names go to the buckets and a bit per name comes back: a name goes once per part, however often it is there, so a string that a third of
+all texts share costs a bucket no more than a name per part. Nothing else moves, and every round is written before the next.
 
 Strings don't cross texts. Null is the empty text; texts under ``length`` bytes lose nothing and keep nothing from others. Repeated rows are
 repeats of each other and are removed whole (if long enough). An empty table gives no rows; other columns are ignored. Long texts are
@@ -42,8 +42,8 @@ COVERS = {
     3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-#: Bytes of a stored block and of a segment that is hashed at once; bits of a cover name inside its bucket.
-BLOCK, SEGMENT, SHORT = 2 << 20, 1 << 20, 40
+#: Bytes of a part (what one task holds), of a stored block and of a segment that is hashed at once; bits of a cover name in its bucket.
+PART, BLOCK, SEGMENT, SHORT = 8 << 20, 2 << 20, 1 << 20, 40
 U = np.uint64
 _SEEDS = ((3, 0x9E6C63D0676A9A99), (5, 0xC2B2AE3D27D4EB4F))
 
@@ -73,7 +73,7 @@ class Hash:
 
 
 class Part:
-    """The texts of one input partition: blocks of bytes, with the cover places in them."""
+    """Some texts of an input partition: blocks of bytes, with the cover places in them."""
 
     def __init__(self, table: pa.Table, length: int):
         table = table.sort_by("block")
@@ -191,8 +191,8 @@ def bits_of(replies: pa.Table, kind: int, size: int) -> np.ndarray:
     return found
 
 
-MESSAGE = "bucket int, kind int, part int, n long, payload binary"
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+MESSAGE = "bucket int, kind int, part long, n long, payload binary"
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 
 
 def messages(rows: list[tuple]) -> pa.Table:
@@ -324,11 +324,11 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """The texts in blocks, in a table bucketed by input partition: later rounds read it without moving it."""
+    """The texts in blocks, in a table bucketed by part: later rounds read it without moving it."""
     spark = docs.sparkSession
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, held = TaskContext.get().partitionId() << 24, 0, 0
         for frame in frames:
             data, offsets = text_bytes(frame.column(1))
             ids, sizes = frame.column(0).to_pylist(), np.diff(offsets)
@@ -336,12 +336,14 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK)) - 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids[a:b]], pa.list_(pa.int64())),
+                    pa.array([part], pa.int64()), pa.array([number], pa.int32()), pa.array([ids[a:b]], pa.list_(pa.int64())),
                     pa.array([sizes[a:b].astype("<i8").tobytes()], pa.binary()), pa.array([data[offsets[a]:offsets[b]].tobytes()], pa.binary()),
                 ], names=["part", "block", "ids", "sizes", "blob"])
-                a, number = b, number + 1
+                a, number, held = b, number + 1, held + int(offsets[b] - offsets[a])
+                if held >= PART:
+                    part, held = part + 1, 0
 
-    made = plain(docs).mapInArrow(run, "part int, block int, ids array<bigint>, sizes binary, blob binary")
+    made = plain(docs).mapInArrow(run, "part long, block int, ids array<bigint>, sizes binary, blob binary")
     name = f"gridlens_blocks_{uuid.uuid4().hex}"
     made.write.bucketBy(buckets, "part").option("compression", "zstd").option("path", scratch(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
