@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-    RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -33,6 +33,50 @@ def as_vectors(df: DataFrame, features: str | list[str], label: str, keep: tuple
     return assembler.transform(df).select(*keep, F.col(label).cast("double").alias("label"), "features")
 
 
+class OneAgainstRest(Estimator):
+    """A binary classifier per class, with class probabilities, so that ensembles can use it like any other.
+
+    With two classes one classifier is enough.
+    """
+
+    def __init__(self, base: Estimator, classes: int, parallelism: int = 4):
+        super().__init__()
+        self.base, self.classes, self.parallelism = base, classes, parallelism
+
+    def _fit(self, df: DataFrame) -> OneAgainstRestModel:
+        one = [1] if self.classes == 2 else range(self.classes)
+        with ThreadPoolExecutor(self.parallelism) as pool:
+            fits = pool.map(lambda c: self.base.fit(df.withColumn("label", (F.col("label") == float(c)).cast("double"))), one)
+        return OneAgainstRestModel(list(fits))
+
+
+class OneAgainstRestModel(Model):
+    """Probabilities of the binary models, normalised; a model without them gives the logistic of its margin."""
+
+    def __init__(self, models: list[Model]):
+        super().__init__()
+        self.models = models
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c not in ("prediction", "probability", "rawPrediction")]
+        out, shares = df.select(*keep), []
+        for i, model in enumerate(self.models):
+            named = model.copy().setPredictionCol(f"__prediction{i}").setRawPredictionCol(f"__raw{i}")
+            if hasattr(named, "setProbabilityCol"):
+                named = named.setProbabilityCol(f"__share{i}")
+                share = vector_to_array(f"__share{i}")[1]
+            else:
+                share = 1 / (1 + F.exp(-vector_to_array(f"__raw{i}")[1]))
+            out = named.transform(out)
+            out = out.select(*keep, *[f"__s{j}" for j in range(i)], share.alias(f"__s{i}"))
+            shares.append(F.col(f"__s{i}"))
+        if len(shares) == 1:
+            shares = [1 - shares[0], shares[0]]
+        total = sum(shares[1:], shares[0])
+        each = F.array(*[F.when(total > 0, s / total).otherwise(1.0 / len(shares)) for s in shares])
+        return out.select(*keep, array_to_vector(each).alias("probability"), ensemble.top_class(each).alias("prediction"))
+
+
 def classifier(kind: str, classes: int = 2, width: int | None = None, seed: int = 42, **params):
     """An estimator by short name. Depth is limited to 30 by the ML library."""
     if kind == "tree":
@@ -41,12 +85,12 @@ def classifier(kind: str, classes: int = 2, width: int | None = None, seed: int
         return RandomForestClassifier(seed=seed, **{"numTrees": 50, "maxDepth": 10, **params})
     if kind == "boosted":
         boosted = GBTClassifier(seed=seed, **{"maxIter": 20, "maxDepth": 5, **params})
-        return boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=4)
+        return boosted if classes == 2 else OneAgainstRest(boosted, classes)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(seed=seed, **{"layers": [width, 64, 32, classes], "maxIter": 60, **params})
     if kind == "svm":
         svm = LinearSVC(**{"maxIter": 50, "regParam": 0.01, **params})
-        return svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4)
+        return OneAgainstRest(svm, classes)
     if kind == "logistic":
         return LogisticRegression(**{"maxIter": 50, "regParam": 0.01, **params})
     raise ValueError(f"unknown kind {kind!r}")

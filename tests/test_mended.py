@@ -3,7 +3,7 @@
 import gzip
 
 from gridlens.functions.scalar import ipv4_to_long
-from gridlens.operators import profile, rules
+from gridlens.operators import models, profile, rules
 from gridlens.sources import tabular
 
 
@@ -39,3 +39,17 @@ def test_octets_are_bytes(spark):
 def test_label_words(spark):
     df = spark.createDataFrame([("normal dos",), ("benign",), ("MITM attempt",), ("view",)], "t string")
     assert [r[0] for r in df.select(rules.keyword_label("t")).collect()] == [1, 0, 1, 1]
+
+
+def test_ensembles_of_boosted_and_margin_models_on_three_classes(spark):
+    rows = [(i, float(i % 3), float(i % 3) + (i * 7 % 10) / 25, float((i * 13) % 11)) for i in range(150)]
+    df = models.as_vectors(spark.createDataFrame(rows, "id int, y double, a double, b double"), ["a", "b"], "y", keep=("id",))
+    kinds = {"boosted": {"maxIter": 2, "maxDepth": 2}, "svm": {"maxIter": 10}, "tree": {}}
+    fitted = {k: models.classifier(k, 3, **p).fit(df) for k, p in kinds.items()}
+    voted = models.soft_vote(fitted, df).select("label", "prediction", "probability").collect()
+    assert sum(r.label == r.prediction for r in voted) > 140 and all(abs(sum(r.probability) - 1) < 1e-9 for r in voted)
+    full, meta, _ = models.stack({k: models.classifier(k, 3, **kinds[k]) for k in ("boosted", "svm")}, df, "id", 3, folds=2)
+    stacked = models.stack_predict(full, meta, df, "id").collect()
+    assert sum(r.label == r.prediction for r in stacked) > 130
+    two = models.classifier("svm", 2, maxIter=10).fit(df.where("label < 2"))
+    assert len(two.transform(df).first().probability) == 2
