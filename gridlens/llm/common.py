@@ -18,7 +18,7 @@ NO_ID = -(1 << 63)
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
