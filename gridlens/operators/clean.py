@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,8 +139,3 @@ def robust_clean(df: DataFrame, columns: list[str], width: int | None = None) ->
     others = [c for c in df.columns if c not in columns]
     padding = [F.lit(0.0).alias(f"pad_{i}") for i in range(len(columns), width)]
     return clipped.select(*others, *columns[:width], *padding)
-
-
-def safe_scale(value: float | None) -> float:
-    """A divisor for scaling: 1 where the spread is missing, NaN or zero."""
-    return 1.0 if value is None or value == 0 or math.isnan(value) else value

@@ -27,9 +27,11 @@ def _cells(df, truth, predicted):
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """All label pairs, zero cells included."""
-    rows = _cells(df, truth, predicted).collect()  # at most classes squared
+def confusion_matrix(df: DataFrame, truth: str, predicted: str, limit: int = 1_000_000) -> DataFrame:
+    """All label pairs, zero cells included; more than ``limit`` different pairs are refused."""
+    rows = _cells(df, truth, predicted).limit(limit + 1).collect()  # at most classes squared
+    if len(rows) > limit:
+        raise ValueError(f"{truth} and {predicted} have more than {limit} pairs: they are no classes")
     labels = sorted({r[0] for r in rows} | {r[1] for r in rows})
     seen = {(r[0], r[1]): r[2] for r in rows}
     kind = df.schema[truth].dataType.simpleString()

@@ -18,7 +18,11 @@ MASK_MODULUS = 1e9 + 7
 
 def laplace_noise(df: DataFrame, row_id: str, columns: list[str], epsilon: float, sensitivity: float | None = None,
                   seed: int = 42) -> DataFrame:
-    """Add Laplace noise of scale sensitivity / epsilon; the sensitivity is the column's whole range unless given."""
+    """Add Laplace noise of scale sensitivity / epsilon; the sensitivity is the column's whole range unless given.
+
+    The noise is a function of row id and seed, so that a re-run gives the same rows: whoever knows both can take it off. Pass a
+    secret seed, and don't publish it with the result.
+    """
     if sensitivity is None:
         ends = agg_row(df, {c: F.max(c) - F.min(c) for c in columns})
     else:

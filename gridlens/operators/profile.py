@@ -351,9 +351,3 @@ def row_stats(features: Column | str) -> dict[str, Column]:
         "row_min": F.array_min(x),
         "row_max": F.array_max(x),
     }
-
-
-def finite_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[finite(c).alias(c) if c in columns else F.col(c) for c in df.columns])
-
-__all__ = [n for n in globals() if not n.startswith("_")]

@@ -172,10 +172,10 @@ def _counts_at(df: DataFrame, cuts: dict[str, list[float]]) -> dict:
 def group_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], name: str = "q", split: bool | None = None
 ) -> DataFrame:
-    """Exact quantiles per group as array column ``name``; a hot group is ranked in blocks."""
+    """Exact quantiles per group as array column ``name``; past ``DIRECT`` values a group is ranked in blocks."""
     rows = df.select(*by, col(value).cast("double").alias("__v")).where("__v is not null")
     if split is None:
-        split = ordered.largest_group(rows, by) > max_group_rows(df.sparkSession)
+        split = ordered.largest_group(rows, by) > min(DIRECT, max_group_rows(df.sparkSession))
     if not split:
         return rows.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias(name))
     # Equal values first collapse to one counted row, then running counts give their ranks.

@@ -11,9 +11,12 @@ from gridlens.operators import ordered
 from gridlens.operators.quantiles import BRACKET, order_statistics
 
 
-def group_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class. For columns of few values."""
-    return {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+def group_counts(df: DataFrame, label: str, limit: int = 10_000) -> dict:
+    """Rows per class; more than ``limit`` classes are refused, for each becomes an expression of the plan."""
+    found = df.groupBy(label).agg(F.count(F.lit(1))).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{label} has more than {limit} values: it is no class")
+    return {r[0]: r[1] for r in found}
 
 
 def smallest_by_hash(df: DataFrame, row_id: str, seed: int, wanted: dict, label: str | None = None,
