@@ -11,8 +11,8 @@ lines of its document, so copies of a document, and nearly all near copies, coun
 copied whole. For near copies that were edited there, no surroundings may have over half of the occurrences; this is looked at for two
 hashes, and one of them is enough, since a line in a longer boilerplate block may meet the same neighbour again and again under one.
 
-Everything is columns: lines are counted by hash with map-side combining, and only leaves that can hold a template are looked at token
-by token. A line that a third of all documents share is as many small rows, spread by its surroundings.
+Everything is columns: texts are parsed once into a table of hashes, lines are counted with map-side combining, and only leaves that can
+hold a template are looked at token by token. A line that a third of all documents share is as many small rows, spread by its surroundings.
 
 Null texts stay null; empty texts and lines stay as they are. Repeated rows share their surroundings. A text whose lines are all dropped
 becomes empty and keeps its row. Lines of over ``longest`` tokens are compared whole only. An empty table gives no rows. Columns beside
@@ -38,10 +38,11 @@ def masked(text: Column) -> Column:
 
     Most texts are so already, which is cheaper to see than to do.
     """
-    uneven = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
-    plain = F.when(uneven, F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), " ?\n ?", "\n"))).otherwise(text)
+    odd = text.rlike(r"[0-9\t\r]")
+    uneven = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
+    plain = F.when(odd | uneven, F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), " ?\n ?", "\n"))).otherwise(text)
     numbers = F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
-    return F.when(text.rlike("[0-9]"), numbers).otherwise(plain)
+    return F.when(odd, numbers).otherwise(plain)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -65,10 +66,25 @@ def in_tree(rows: DataFrame, depth: int, least: int) -> DataFrame:
     return rows.withColumn("n_tokens", n).withColumn("leaf", leaf).filter(F.col("n_tokens") >= least)
 
 
-def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
-              least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def placed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """The lines of all texts in the tree, written as numbers: texts are parsed once."""
+    rows = in_tree(lines(docs), depth, least)
+    return stage(rows.select("_id", "_row", "at", "leaf", "whole", "n_tokens", "first", "second"), "lines")
+
+
+def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(whole, line) of some kinds of lines, each read from one text that has it."""
+    few = wanted.count() <= SMALL
+    place = every.join(F.broadcast(wanted) if few else wanted, "whole", "left_semi").groupBy("whole").agg(F.min(F.struct("_id", "_row", "at")).alias("p"))
+    place = stage(place.groupBy("p._id", "p._row").agg(F.collect_list(F.struct("whole", "p.at")).alias("of")), "line-places")
+    texts = docs.select(*row_key(docs), F.col("text").cast("string").alias("text")).join(F.broadcast(place) if few else place, ["_id", "_row"])
+    texts = texts.select(F.split(masked(F.col("text")), "\n").alias("all"), F.explode("of").alias("o"))
+    return texts.groupBy("o.whole").agg(F.min(F.get("all", F.col("o.at"))).alias("line"))
+
+
+def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
+              longest: int = LONGEST) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
-    every = in_tree(lines(docs), depth, least)
     counted = stage(every.groupBy("leaf", "whole", "n_tokens", "first", "second").agg(F.count("*").alias("n")), "line-counts")
     # A leaf has at most as many surroundings as rows: smaller leaves can't hold a recurring template.
     kinds = counted.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
@@ -78,9 +94,7 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCU
     # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its lines.
     several = busy.filter((F.col("kinds") > 1) & (F.col("n_tokens") <= longest)).groupBy("leaf", "whole", "in_leaf").agg(F.sum("n").alias("n"))
     several = stage(several, "several-kinds")
-    wanted = several.select("whole")
-    wanted = F.broadcast(wanted) if several.count() <= SMALL else wanted
-    texts = every.select("whole", "line").join(wanted, "whole", "left_semi").groupBy("whole").agg(F.min("line").alias("line"))
+    texts = line_texts(docs, every, several.select("whole"))
     several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "busy-texts")
     places = several.select("leaf", "in_leaf", "n", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token")
     kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
@@ -101,11 +115,12 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_documents: int = MIN_DOCU
     return found.select("whole", "template").join(recurs, "template", "left_semi").select("whole").distinct()
 
 
-def dropped(docs: DataFrame, **settings) -> DataFrame:
+def dropped(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, **settings) -> DataFrame:
     """The rows of ``docs`` (struct ``_held``) with the number of lines, of dropped ones, and the text that is left (struct ``_lines``)."""
-    found = stage(templates(docs, **settings), "recurring-lines")
+    every = placed(docs, depth, least)
+    found = stage(templates(docs, every, **settings), "recurring-lines")
     found = F.broadcast(found) if found.count() <= SMALL else found
-    out = lines(docs).select("whole", "_id", "_row", "at").join(found, "whole", "left_semi").groupBy("_id", "_row").agg(F.collect_set("at").alias("_out"))
+    out = every.join(found, "whole", "left_semi").groupBy("_id", "_row").agg(F.collect_set("at").alias("_out"))
     key = row_key(docs)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_held"), key[0].alias("_id"), key[1].alias("_row"))
     every = F.split(F.col("_held.text").cast("string"), "\n")
