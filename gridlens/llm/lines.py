@@ -100,7 +100,7 @@ def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUME
     kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
     kept = kept.filter((F.col("token") != FIELD) & (F.col("n") > share * F.col("in_leaf")) & (F.col("n") > 1))
     skeletons = kept.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # one token a place has over half
-    shaped = several.join(skeletons, "leaf", "left")
+    shaped = several.join(stage(skeletons, "leaf-skeletons"), "leaf", "left")  # two scans: a large leaf can be split
     general = F.transform("t", lambda x, i: F.when(F.try_element_at("fixed", i) == x, x).otherwise(F.lit(FIELD)))
     shaped = shaped.withColumn("general", general)
     enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
