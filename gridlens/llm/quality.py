@@ -30,7 +30,7 @@ from gridlens.llm.common import byte_table, mix, powers, stage, text_bytes
 #: Hashed features (2^BITS), width of the vectors, byte n-grams, labelled rows that the descent sees, passes over them, step at the start.
 BITS, WIDTH, GRAMS, SAMPLE, EPOCHS, RATE = 17, 12, (3, 4, 5), 4000, 6, 0.3
 #: Bytes that are turned into features at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = byte_table(7)
