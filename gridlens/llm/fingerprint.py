@@ -115,8 +115,11 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     """Share of common hashes among the least of both."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).mean())
+    both = np.concatenate([a, b])
+    both.sort()
+    again = both[1:] == both[:-1]  # hashes of one text differ
+    least = both[np.concatenate([[True], ~again])][:size]
+    return float((both[1:][again] <= least[-1]).sum() / len(least))
 
 
 def shown(sketch: np.ndarray) -> str:
