@@ -6,15 +6,14 @@ keeps a token that stands there in over ``share`` (a half or more) of the leaf's
 template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
 alike is no family. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
 
-A template recurs if it stands in ``min_documents`` different surroundings. The surroundings of a line are the least hash of the other
-lines of its document, so copies of a document, and nearly all near copies, count as one document: a text isn't boilerplate because it was
-copied whole. For near copies that were edited there, no surroundings may have over half of the occurrences; this is looked at for two
-hashes, and one of them is enough, since a line in a longer boilerplate block may meet the same neighbour again and again under one.
+A template recurs if it stands in ``min_documents`` different documents. Documents whose fingerprints ``simhash`` links, among those that
+hold lines of busy leaves, count as one, and so do copies: a text isn't boilerplate because it was copied whole. How often a document, or a
+group of copies, has the line doesn't matter.
 
 Everything is columns: texts are parsed once into a table of hashes, lines are counted with map-side combining, and only leaves that can
-hold a template are looked at token by token. A line that a third of all documents share is as many small rows, spread by its surroundings.
+hold a template are looked at token by token. A line that a third of all documents share is as many small rows, spread by their documents.
 
-Null texts stay null; empty texts and lines stay as they are. Repeated rows share their surroundings. A text whose lines are all dropped
+Null texts stay null; empty texts and lines stay as they are. Repeated rows are one document. A text whose lines are all dropped
 becomes empty and keeps its row. Lines of over ``longest`` tokens are compared whole only. An empty table gives no rows. Columns beside
 doc_id, text and n_chars pass through.
 """
@@ -24,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlens.llm import simhash
 from gridlens.llm.common import row_key, stage
 
 DEPTH, MIN_DOCUMENTS, SHARE, CONSTANT, LEAST, LONGEST = 3, 5, 0.5, 0.6, 2, 64
@@ -46,17 +46,10 @@ def masked(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """A row per line with text: _id, _row, at (its number), line (masked), whole (its hash), first and second (its surroundings)."""
-    rows = docs.select(*row_key(docs), F.split(masked(F.col("text").cast("string")), "\n").alias("all"))
-    rows = rows.withColumn("_a", F.array_distinct(F.transform(F.array_remove("all", ""), lambda x: F.xxhash64(x))))
-    rows = rows.withColumn("_b", F.slice(F.sort_array(F.transform("_a", lambda x: F.xxhash64(x))), 1, 2)).withColumn("_a", F.slice(F.sort_array("_a"), 1, 2))
-    rows = rows.select("_id", "_row", "_a", "_b", F.posexplode("all").alias("at", "line")).filter("line <> ''").withColumn("whole", F.xxhash64("line"))
-    own = {"_a": F.col("whole"), "_b": F.xxhash64("whole")}
-
-    def around(name: str) -> Column:
-        return F.coalesce(F.when(F.get(name, F.lit(0)) != own[name], F.get(name, F.lit(0))).otherwise(F.get(name, F.lit(1))), F.lit(0))
-
-    return rows.select("_id", "_row", "at", "line", "whole", around("_a").alias("first"), around("_b").alias("second"))
+    """A row per line with text: _id, _row, same (the hash of its text), at (its number), line (masked) and whole (its hash)."""
+    text = F.col("text").cast("string")
+    rows = docs.select(*row_key(docs), F.xxhash64(text).alias("same"), F.posexplode(F.split(masked(text), "\n")).alias("at", "line"))
+    return rows.filter("line <> ''").withColumn("whole", F.xxhash64("line"))
 
 
 def in_tree(rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -69,7 +62,7 @@ def in_tree(rows: DataFrame, depth: int, least: int) -> DataFrame:
 def placed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """The lines of all texts in the tree, written as numbers: texts are parsed once."""
     rows = in_tree(lines(docs), depth, least)
-    return stage(rows.select("_id", "_row", "at", "leaf", "whole", "n_tokens", "first", "second"), "lines")
+    return stage(rows.select("_id", "_row", "at", "same", "leaf", "whole", "n_tokens"), "lines")
 
 
 def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -82,11 +75,21 @@ def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFram
     return texts.groupBy("o.whole").agg(F.min(F.get("all", F.col("o.at"))).alias("line"))
 
 
+def documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(same, doc): the document that each text of ``wanted`` counts as; near copies are one."""
+    wanted = stage(wanted.distinct(), "line-documents")
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("same"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "same", "left_semi")
+    prints = stage(simhash.with_fingerprint(texts).distinct(), "line-fingerprints")
+    named = simhash.groups(prints.select("fp").distinct()).select("fp", F.col("_c").alias("doc"))
+    return stage(prints.join(stage(named, "line-components"), "fp").select("same", "doc"), "line-identities")
+
+
 def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
               longest: int = LONGEST) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
-    counted = stage(every.groupBy("leaf", "whole", "n_tokens", "first", "second").agg(F.count("*").alias("n")), "line-counts")
-    # A leaf has at most as many surroundings as rows: smaller leaves can't hold a recurring template.
+    counted = stage(every.groupBy("leaf", "whole", "n_tokens", "same").agg(F.count("*").alias("n")), "line-counts")
+    # A leaf has at most as many documents as rows: smaller leaves can't hold a recurring template.
     kinds = counted.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
     leaves = kinds.groupBy("leaf").agg(F.sum("places").alias("places"), F.count("*").alias("kinds"), F.sum("n").alias("in_leaf"))
     leaves = stage(leaves.filter(F.col("places") >= min_documents), "busy-leaves")
@@ -105,14 +108,12 @@ def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUME
     shaped = shaped.withColumn("general", general)
     enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
     shaped = shaped.filter(enough).select("whole", F.xxhash64("leaf", "general").alias("template"))
-    # Occurrences by template and surroundings, for both hashes.
     found = busy.join(stage(shaped, "line-templates"), "whole", "left").withColumn("template", F.coalesce("template", "whole"))
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("around")) for k, c in enumerate(("first", "second"))]))
-    around = found.select("template", "n", sides.alias("s")).groupBy("template", "s.side", "s.around").agg(F.sum("n").alias("n"))
-    spread = around.groupBy("template", "side").agg(F.count("*").alias("places"), (F.max("n") / F.sum("n")).alias("largest"))
-    recurs = spread.groupBy("template").agg(F.max("places").alias("places"), F.min("largest").alias("largest"))
-    recurs = stage(recurs.filter((F.col("places") >= min_documents) & (F.col("largest") <= 0.5)).select("template"), "recurring-templates")
-    return found.select("whole", "template").join(recurs, "template", "left_semi").select("whole").distinct()
+    # Each document counts once, however often it or its copies have the template.
+    found = stage(found.select("whole", "template", "same").join(documents(docs, busy.select("same")), "same"), "template-documents")
+    recurs = found.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("places"))
+    recurs = stage(recurs.filter(F.col("places") >= min_documents).select("template"), "recurring-templates")
+    return found.select("whole", "template").distinct().join(recurs, "template", "left_semi").select("whole").distinct()
 
 
 def dropped(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, **settings) -> DataFrame:
