@@ -2,7 +2,7 @@
 
 A line is a run of tokens, and a token with a digit is a variable field (``<*>``) from the start. The tree has a fixed depth: its first
 level is the number of tokens, the next ones are the leading tokens. What falls into one leaf is one family of lines. In a leaf, a place
-keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines and is a variable field otherwise; what comes out is the
+keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines, each counted once a document, and is a variable field otherwise; what comes out is the
 template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
 alike is no family. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
 
@@ -88,17 +88,20 @@ def documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
               longest: int = LONGEST) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
-    counted = stage(every.groupBy("leaf", "whole", "n_tokens", "same").agg(F.count("*").alias("n")), "line-counts")
+    counted = stage(every.select("leaf", "whole", "n_tokens", "same").distinct(), "line-counts")
     # A leaf has at most as many documents as rows: smaller leaves can't hold a recurring template.
-    kinds = counted.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
-    leaves = kinds.groupBy("leaf").agg(F.sum("places").alias("places"), F.count("*").alias("kinds"), F.sum("n").alias("in_leaf"))
-    leaves = stage(leaves.filter(F.col("places") >= min_documents), "busy-leaves")
-    busy = stage(counted.join(leaves.select("leaf", "kinds", "in_leaf"), "leaf"), "busy-lines")
-    # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its lines.
-    several = busy.filter((F.col("kinds") > 1) & (F.col("n_tokens") <= longest)).groupBy("leaf", "whole", "in_leaf").agg(F.sum("n").alias("n"))
-    several = stage(several, "several-kinds")
+    kinds = counted.groupBy("leaf", "whole").agg(F.count("*").alias("places"))
+    leaves = stage(kinds.groupBy("leaf").agg(F.sum("places").alias("places")).filter(F.col("places") >= min_documents).select("leaf"), "busy-leaves")
+    texts = stage(counted.join(leaves, "leaf"), "busy-texts")
+    # Each document counts once, however often it or its copies have the line.
+    busy = stage(texts.join(documents(docs, texts.select("same")), "same").select("leaf", "whole", "n_tokens", "doc").distinct(), "busy-lines")
+    kinds = stage(busy.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("n")), "line-kinds")
+    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("in_leaf")).filter(F.col("in_leaf") >= min_documents)
+    # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its documents.
+    several = kinds.filter(F.col("n_tokens") <= longest).join(stage(leaves.filter("kinds > 1"), "several-leaves"), "leaf")
+    several = stage(several.select("leaf", "whole", "in_leaf", "n"), "several-kinds")
     texts = line_texts(docs, every, several.select("whole"))
-    several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "busy-texts")
+    several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "several-texts")
     places = several.select("leaf", "in_leaf", "n", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token")
     kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
     kept = kept.filter((F.col("token") != FIELD) & (F.col("n") > share * F.col("in_leaf")) & (F.col("n") > 1))
@@ -108,9 +111,8 @@ def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUME
     shaped = shaped.withColumn("general", general)
     enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
     shaped = shaped.filter(enough).select("whole", F.xxhash64("leaf", "general").alias("template"))
-    found = busy.join(stage(shaped, "line-templates"), "whole", "left").withColumn("template", F.coalesce("template", "whole"))
-    # Each document counts once, however often it or its copies have the template.
-    found = stage(found.select("whole", "template", "same").join(documents(docs, busy.select("same")), "same"), "template-documents")
+    found = busy.select("whole", "doc").join(stage(shaped, "line-templates"), "whole", "left")
+    found = stage(found.withColumn("template", F.coalesce("template", "whole")), "template-documents")
     recurs = found.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("places"))
     recurs = stage(recurs.filter(F.col("places") >= min_documents).select("template"), "recurring-templates")
     return found.select("whole", "template").distinct().join(recurs, "template", "left_semi").select("whole").distinct()

@@ -21,3 +21,18 @@ def test_blocks_of_lines_recur(spark):
         blocks = [[own_line(rng) for _ in range(size)] for _ in range(8)]
         bodies = [(b, [own_line(rng) for _ in range(own)]) for b in blocks for _ in range(6)]
         assert left(spark, ["\n".join(b + body) for b, body in bodies]) == ["\n".join(body) for _, body in bodies]
+
+
+def test_copies_have_no_weight(spark):
+    """A copied or repetitive document counts once: for the recurrence of a template and for the tokens of a leaf."""
+    rng = random.Random(2)
+    footer, other = "all the rights of this page are reserved", "see the list of our partners for more"
+    bodies = [own_line(rng) for _ in range(8)]
+    copied = own_line(rng) + "\n" + footer
+    texts = [b + "\n" + footer for b in bodies] + [copied] * 30
+    family = [own_line(rng) + "\nclick here to follow %s today" % x for x in ("anna", "ben", "carl", "dora", "emil", "fred")]
+    repeats = own_line(rng) + "\nclick here to read more now" * 30
+    got = left(spark, [*texts, *family, repeats, other])
+    assert got[:8] == bodies and {t.count("\n") for t in got[8:38]} == {0}
+    assert all("click" not in t for t in got[38:44])
+    assert got[44:] == [repeats, other]
