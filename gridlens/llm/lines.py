@@ -4,7 +4,8 @@ A line is a run of tokens, and a token with a digit is a variable field (``<*>``
 level is the number of tokens, the next ones are the leading tokens. What falls into one leaf is one family of lines. In a leaf, a place
 keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines, each counted once a document, and is a variable field otherwise; what comes out is the
 template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
-alike is no family. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
+alike is no family. Lines whose template doesn't recur go on to finer leaves, by their token at the place with the fewest different ones, so
+that each of several families in a leaf comes to its own template. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
 
 A template recurs if it stands in ``min_documents`` different documents. Documents whose fingerprints ``simhash`` links, among those that
 hold lines of busy leaves, count as one, and so do copies: a text isn't boilerplate because it was copied whole. How often a document, or a
@@ -85,6 +86,46 @@ def documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(prints.join(stage(named, "line-components"), "fp").select("same", "doc"), "line-identities")
 
 
+def crowded(nodes: DataFrame, min_documents: int) -> DataFrame:
+    """The rows of nodes that have several kinds of lines, in ``min_documents`` documents or more."""
+    several = nodes.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > 1) & (F.col("n") >= min_documents))
+    return nodes.join(stage(several.select("node"), "crowded-nodes"), "node")
+
+
+def tokens(nodes: DataFrame) -> DataFrame:
+    """(node, place, token, n): the documents of each token at each place of a node's lines."""
+    return nodes.select("node", "n", F.posexplode("t").alias("place", "token")).groupBy("node", "place", "token").agg(F.sum("n").alias("n"))
+
+
+def by_majority(nodes: DataFrame, share: float, constant: float) -> DataFrame:
+    """(whole, template) of the lines that keep enough of their tokens by the majorities of their node."""
+    all_of = nodes.groupBy("node").agg(F.sum("n").alias("in_node"))
+    kept = tokens(nodes).filter((F.col("token") != FIELD) & (F.col("n") > 1)).join(all_of, "node").filter(F.col("n") > share * F.col("in_node"))
+    skeletons = kept.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # one token a place has over half
+    shaped = nodes.join(stage(skeletons, "leaf-skeletons"), "node")  # two scans: a large leaf can be split
+    general = F.transform("t", lambda x, i: F.when(F.try_element_at("fixed", i) == x, x).otherwise(F.lit(FIELD)))
+    shaped = shaped.withColumn("general", general)
+    enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
+    return shaped.filter(enough).select("whole", F.xxhash64("node", "general").alias("template"))
+
+
+def divided(nodes: DataFrame, min_documents: int) -> DataFrame:
+    """The nodes one level down: each is cut at the place of fewest tokens, among those with a frequent token and another one.
+
+    A frequent token has a node of its own, the other ones share one, so a place is cut once on any way down and this ends.
+    """
+    nodes = crowded(nodes, min_documents)
+    found = stage(tokens(nodes).withColumn("often", (F.col("n") >= min_documents) & (F.col("token") != FIELD)), "line-tokens")
+    places = found.groupBy("node", "place").agg(F.count("*").alias("tokens"), F.max("often").alias("often"))
+    places = places.filter((F.col("tokens") > 1) & F.col("often")).groupBy("node").agg(F.min(F.struct("tokens", "place")).alias("cut"))
+    often = F.collect_set(F.when(F.col("often"), F.col("token")))
+    cuts = found.join(stage(places.select("node", "cut.place"), "node-cuts"), ["node", "place"]).groupBy("node", "place").agg(often.alias("often"))
+    below = nodes.join(stage(cuts, "node-tokens"), "node")
+    token = F.get("t", F.col("place"))
+    token = F.when(F.array_contains("often", token), token).otherwise(F.lit(FIELD))
+    return crowded(stage(below.select(F.xxhash64("node", "place", token).alias("node"), "whole", "n", "t"), "finer-lines"), min_documents)
+
+
 def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
               longest: int = LONGEST) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
@@ -96,26 +137,27 @@ def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUME
     # Each document counts once, however often it or its copies have the line.
     busy = stage(texts.join(documents(docs, texts.select("same")), "same").select("leaf", "whole", "n_tokens", "doc").distinct(), "busy-lines")
     kinds = stage(busy.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("n")), "line-kinds")
-    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("in_leaf")).filter(F.col("in_leaf") >= min_documents)
+    found = kinds.filter(F.col("n") >= min_documents).select("whole")
     # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its documents.
-    several = kinds.filter(F.col("n_tokens") <= longest).join(stage(leaves.filter("kinds > 1"), "several-leaves"), "leaf")
-    several = stage(several.select("leaf", "whole", "in_leaf", "n"), "several-kinds")
+    nodes = crowded(kinds.filter(F.col("n_tokens") <= longest).withColumnRenamed("leaf", "node"), min_documents)
+    several = stage(nodes.select("node", "whole", "n"), "several-kinds")
     texts = line_texts(docs, every, several.select("whole"))
-    several = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "several-texts")
-    places = several.select("leaf", "in_leaf", "n", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token")
-    kept = places.agg(F.sum("n").alias("n"), F.first("in_leaf").alias("in_leaf"))
-    kept = kept.filter((F.col("token") != FIELD) & (F.col("n") > share * F.col("in_leaf")) & (F.col("n") > 1))
-    skeletons = kept.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # one token a place has over half
-    shaped = several.join(stage(skeletons, "leaf-skeletons"), "leaf", "left")  # two scans: a large leaf can be split
-    general = F.transform("t", lambda x, i: F.when(F.try_element_at("fixed", i) == x, x).otherwise(F.lit(FIELD)))
-    shaped = shaped.withColumn("general", general)
-    enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
-    shaped = shaped.filter(enough).select("whole", F.xxhash64("leaf", "general").alias("template"))
-    found = busy.select("whole", "doc").join(stage(shaped, "line-templates"), "whole", "left")
-    found = stage(found.withColumn("template", F.coalesce("template", "whole")), "template-documents")
-    recurs = found.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("places"))
-    recurs = stage(recurs.filter(F.col("places") >= min_documents).select("template"), "recurring-templates")
-    return found.select("whole", "template").distinct().join(recurs, "template", "left_semi").select("whole").distinct()
+    nodes = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "several-texts")
+    level = 0
+    while not nodes.isEmpty():
+        shaped = stage(by_majority(nodes, share, constant), f"line-templates-{level}")
+        recurs = shaped.join(busy.select("whole", "doc"), "whole").select("template", "doc").distinct()
+        recurs = stage(recurs.groupBy("template").count().filter(F.col("count") >= min_documents).select("template"), f"recurring-templates-{level}")
+        found = stage(found.unionByName(shaped.join(recurs, "template", "left_semi").select("whole")).distinct(), f"found-lines-{level}")
+        left = stage(nodes.join(found, "whole", "left_anti"), f"undecided-lines-{level}")
+        # A node that has lost lines has other majorities now, so it is looked at again before it is cut.
+        kept = left.groupBy("node").count().join(nodes.groupBy("node").count().withColumnRenamed("count", "before"), "node")
+        kept = stage(kept.select("node", (F.col("count") < F.col("before")).alias("again")), f"node-sizes-{level}")
+        left = stage(left.join(kept, "node"), f"left-lines-{level}")
+        again = crowded(left.filter("again").drop("again"), min_documents)
+        nodes = stage(again.unionByName(divided(left.filter("not again").drop("again"), min_documents)), f"line-nodes-{level}")
+        level += 1
+    return found.distinct()
 
 
 def dropped(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, **settings) -> DataFrame:

@@ -36,3 +36,14 @@ def test_copies_have_no_weight(spark):
     assert got[:8] == bodies and {t.count("\n") for t in got[8:38]} == {0}
     assert all("click" not in t for t in got[38:44])
     assert got[44:] == [repeats, other]
+
+
+def test_each_family_of_a_leaf_has_its_template(spark):
+    """Two families with equal shares, and one beside a line that stands in far more documents."""
+    rng = random.Random(3)
+    names = [own_line(rng).split(" ")[0] for _ in range(20)]
+    even = ["please share this page of %s with friends" % x for x in names] + ["please share this list for %s by mail" % x for x in names]
+    hot = ["click here to read more now"] * 30 + ["click here to follow %s today" % x for x in names]
+    prose = ["we saw that " + own_line(rng) for _ in range(12)]
+    bodies = [own_line(rng) for _ in range(len(even) + len(hot))]
+    assert left(spark, [b + "\n" + x for b, x in zip(bodies, even + hot)] + prose) == bodies + prose
