@@ -5,7 +5,7 @@ level is the number of tokens, the next ones are the leading tokens. What falls
 keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines, each counted once a document, and is a variable field otherwise; what comes out is the
 template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
 alike is no family. Lines whose template doesn't recur go on to finer leaves, by their token at the place with the fewest different ones, so
-that each of several families in a leaf comes to its own template. Lines of recurring templates are dropped from all documents; lines under ``least`` tokens never are.
+that each of several families in a leaf comes to its own template. Lines of recurring templates are dropped from all documents, long and short ones.
 
 A template recurs if it stands in ``min_documents`` different documents. Documents whose fingerprints ``simhash`` links, among those that
 hold lines of busy leaves, count as one, and so do copies: a text isn't boilerplate because it was copied whole. How often a document, or a
@@ -15,7 +15,7 @@ Everything is columns: texts are parsed once into a table of hashes, lines are c
 hold a template are looked at token by token. A line that a third of all documents share is as many small rows, spread by their documents.
 
 Null texts stay null; empty texts and lines stay as they are. Repeated rows are one document. A text whose lines are all dropped
-becomes empty and keeps its row. Lines of over ``longest`` tokens are compared whole only. An empty table gives no rows. Columns beside
+becomes empty and keeps its row. In scripts without blanks, a line of one token is split by characters. An empty table gives no rows. Columns beside
 doc_id, text and n_chars pass through.
 """
 
@@ -27,43 +27,62 @@ from pyspark.sql import functions as F
 from gridlens.llm import simhash
 from gridlens.llm.common import row_key, stage
 
-DEPTH, MIN_DOCUMENTS, SHARE, CONSTANT, LEAST, LONGEST = 3, 5, 0.5, 0.6, 2, 64
+DEPTH, MIN_DOCUMENTS, SHARE, CONSTANT = 3, 5, 0.5, 0.6
 #: Numbers that may be broadcast.
 SMALL = 500_000
+#: Letters of scripts without blanks between words: a line of one token with such letters is split by characters.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: A place of a template whose value varies.
 FIELD = "<*>"
 
 
 def masked(text: Column) -> Column:
-    """A text whose lines have single blanks between tokens and none at their ends, and tokens with a digit as variable fields.
+    """A text whose lines have single blanks between tokens and none at their ends, and tokens with a digit, beside other ones, as variable fields.
 
     Most texts are so already, which is cheaper to see than to do.
     """
     odd = text.rlike(r"[0-9\t\r]")
     uneven = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" ")
     plain = F.when(odd | uneven, F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), " ?\n ?", "\n"))).otherwise(text)
-    numbers = F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+    numbers = F.regexp_replace(plain, r"(?<= )[^ \n0-9]*+[0-9][^ \n]*+|(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+(?= )", FIELD)
     return F.when(odd, numbers).otherwise(plain)
 
 
+def alone(line: Column) -> Column:
+    """A masked line; if it is a single token with more than digits, its runs of digits are variable fields of one character, ``0``."""
+    digits = ~F.contains(line, F.lit(" ")) & line.rlike("[0-9]") & line.rlike("[^0-9]")
+    return F.when(digits, F.regexp_replace(line, "[0-9]+", "0")).otherwise(line)
+
+
+def parts(line: Column) -> Column:
+    """The tokens of a masked line: its words, or the characters of a single token of a script without blanks, fields as ``<*>``."""
+    characters = F.transform(F.split(line, ""), lambda x: F.when(x == "0", FIELD).otherwise(x))
+    return F.when(by_characters(line), characters).otherwise(F.split(line, " "))
+
+
+def by_characters(line: Column) -> Column:
+    return ~F.contains(line, F.lit(" ")) & line.rlike(UNSPACED)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """A row per line with text: _id, _row, same (the hash of its text), at (its number), line (masked) and whole (its hash)."""
     text = F.col("text").cast("string")
     rows = docs.select(*row_key(docs), F.xxhash64(text).alias("same"), F.posexplode(F.split(masked(text), "\n")).alias("at", "line"))
-    return rows.filter("line <> ''").withColumn("whole", F.xxhash64("line"))
+    return rows.filter("line <> ''").withColumn("line", alone(F.col("line"))).withColumn("whole", F.xxhash64("line"))
 
 
-def in_tree(rows: DataFrame, depth: int, least: int) -> DataFrame:
-    """Adds n_tokens and leaf (the place in the tree, as a hash); lines of too few tokens are left out."""
-    n = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(F.concat_ws(" ", n, F.substring_index("line", " ", depth)))
-    return rows.withColumn("n_tokens", n).withColumn("leaf", leaf).filter(F.col("n_tokens") >= least)
+def in_tree(rows: DataFrame, depth: int) -> DataFrame:
+    """Adds leaf (the place in the tree, as a hash)."""
+    line = F.col("line")
+    n = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    words = F.concat_ws(" ", n, F.substring_index("line", " ", depth))
+    return rows.withColumn("leaf", F.xxhash64(F.when(by_characters(line), F.concat_ws("", F.char_length(line), F.lit("/"), F.substring(line, 1, depth))).otherwise(words)))
 
 
-def placed(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+def placed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The lines of all texts in the tree, written as numbers: texts are parsed once."""
-    rows = in_tree(lines(docs), depth, least)
-    return stage(rows.select("_id", "_row", "at", "same", "leaf", "whole", "n_tokens"), "lines")
+    rows = in_tree(lines(docs), depth)
+    return stage(rows.select("_id", "_row", "at", "same", "leaf", "whole"), "lines")
 
 
 def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFram
     place = stage(place.groupBy("p._id", "p._row").agg(F.collect_list(F.struct("whole", "p.at")).alias("of")), "line-places")
     texts = docs.select(*row_key(docs), F.col("text").cast("string").alias("text")).join(F.broadcast(place) if few else place, ["_id", "_row"])
     texts = texts.select(F.split(masked(F.col("text")), "\n").alias("all"), F.explode("of").alias("o"))
-    return texts.groupBy("o.whole").agg(F.min(F.get("all", F.col("o.at"))).alias("line"))
+    return texts.groupBy("o.whole").agg(F.min(alone(F.get("all", F.col("o.at")))).alias("line"))
 
 
 def documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,23 +145,22 @@ def divided(nodes: DataFrame, min_documents: int) -> DataFrame:
     return crowded(stage(below.select(F.xxhash64("node", "place", token).alias("node"), "whole", "n", "t"), "finer-lines"), min_documents)
 
 
-def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT,
-              longest: int = LONGEST) -> DataFrame:
+def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
-    counted = stage(every.select("leaf", "whole", "n_tokens", "same").distinct(), "line-counts")
+    counted = stage(every.select("leaf", "whole", "same").distinct(), "line-counts")
     # A leaf has at most as many documents as rows: smaller leaves can't hold a recurring template.
     kinds = counted.groupBy("leaf", "whole").agg(F.count("*").alias("places"))
     leaves = stage(kinds.groupBy("leaf").agg(F.sum("places").alias("places")).filter(F.col("places") >= min_documents).select("leaf"), "busy-leaves")
     texts = stage(counted.join(leaves, "leaf"), "busy-texts")
     # Each document counts once, however often it or its copies have the line.
-    busy = stage(texts.join(documents(docs, texts.select("same")), "same").select("leaf", "whole", "n_tokens", "doc").distinct(), "busy-lines")
-    kinds = stage(busy.groupBy("leaf", "whole", "n_tokens").agg(F.count("*").alias("n")), "line-kinds")
+    busy = stage(texts.join(documents(docs, texts.select("same")), "same").select("leaf", "whole", "doc").distinct(), "busy-lines")
+    kinds = stage(busy.groupBy("leaf", "whole").agg(F.count("*").alias("n")), "line-kinds")
     found = kinds.filter(F.col("n") >= min_documents).select("whole")
     # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its documents.
-    nodes = crowded(kinds.filter(F.col("n_tokens") <= longest).withColumnRenamed("leaf", "node"), min_documents)
+    nodes = crowded(kinds.withColumnRenamed("leaf", "node"), min_documents)
     several = stage(nodes.select("node", "whole", "n"), "several-kinds")
     texts = line_texts(docs, every, several.select("whole"))
-    nodes = stage(several.join(texts, "whole").withColumn("t", F.split("line", " ")).drop("line"), "several-texts")
+    nodes = stage(several.join(texts, "whole").withColumn("t", parts(F.col("line"))).drop("line"), "several-texts")
     level = 0
     while not nodes.isEmpty():
         shaped = stage(by_majority(nodes, share, constant), f"line-templates-{level}")
@@ -160,9 +178,9 @@ def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUME
     return found.distinct()
 
 
-def dropped(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, **settings) -> DataFrame:
+def dropped(docs: DataFrame, depth: int = DEPTH, **settings) -> DataFrame:
     """The rows of ``docs`` (struct ``_held``) with the number of lines, of dropped ones, and the text that is left (struct ``_lines``)."""
-    every = placed(docs, depth, least)
+    every = placed(docs, depth)
     found = stage(templates(docs, every, **settings), "recurring-lines")
     found = F.broadcast(found) if found.count() <= SMALL else found
     out = every.join(found, "whole", "left_semi").groupBy("_id", "_row").agg(F.collect_set("at").alias("_out"))

@@ -47,3 +47,15 @@ def test_each_family_of_a_leaf_has_its_template(spark):
     prose = ["we saw that " + own_line(rng) for _ in range(12)]
     bodies = [own_line(rng) for _ in range(len(even) + len(hot))]
     assert left(spark, [b + "\n" + x for b, x in zip(bodies, even + hot)] + prose) == bodies + prose
+
+
+def test_lines_of_any_length(spark):
+    """A long passage with a varying name, a line of one word, and lines of a script without blanks."""
+    rng = random.Random(5)
+    names = [own_line(rng).split(" ")[0] for _ in range(7)]
+    passage = " ".join(own_line(rng) for _ in range(12))
+    kinds = [["in short " + passage.replace(" ", " %s " % x, 40) for x in names], ["Les."] * 7, ["版权所有%s本站保留一切权利转载请注明出处" % x for x in "赵钱孙李周吴郑"]]
+    bodies = [own_line(rng) for _ in range(7)]
+    assert left(spark, ["\n".join([b, *x]) for b, *x in zip(bodies, *kinds)]) == bodies
+    apart = ["2%03d" % k for k in range(7)] + ["第%d章" % k + x * 4 for k, x in enumerate("天地玄黄宇宙洪")]
+    assert left(spark, [b + "\n" + x for b, x in zip(bodies * 2, apart)]) == [b + "\n" + x for b, x in zip(bodies * 2, apart)]
