@@ -2,7 +2,7 @@
 
 Vocabularies split a text before their merges, and no split joins a non-blank character with a following blank. So a
 text may be cut in front of every blank whose left neighbour isn't white space, and the ids of the cuts, put in a row,
-are the ids of the text. A worker remembers the ids of a bounded number of pieces.
+are the ids of the text. A text with an added token of the vocabulary, such as ``<|endoftext|>``, is encoded whole. A worker remembers the ids of a bounded number of pieces.
 """
 
 from __future__ import annotations
@@ -31,14 +31,17 @@ class Encoder:
     """``encode(texts)``: per text the ids as little-endian unsigned 32-bit bytes, the end id last.
 
     Two kinds of vocabulary: those that keep white space (byte-level) and those that drop it (with word ends).
+    ``split_added`` takes added tokens in a text as any other characters; without it, they are found as the library does by default.
     """
 
-    def __init__(self, name: str, end: int = 2, remembered: int = REMEMBERED):
+    def __init__(self, name: str, end: int = 2, remembered: int = REMEMBERED, split_added: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_added
+        added = [] if split_added else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None  # normalizers may change case
         self.end = np.array([end], "<u4").tobytes()
         self.remembered, self.known = remembered, {}
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
@@ -55,6 +58,8 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Cuts of a text, or None if it must be encoded whole. A piece stands for itself after one blank."""
+        if self.added and self.added.search(text):
+            return None
         if self.drops_blanks:
             return text.replace("\n", " ").split(" ")
         if not text or text[-1].isspace() or text[0] == "\n" or UNEVEN.search(text):
@@ -122,9 +127,9 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(name: str, end: int = 2) -> Encoder:
-    """The worker's encoder of this vocabulary."""
+    """The worker's encoder of this vocabulary, with the library's ids."""
     if (name, end) not in _encoders:
-        _encoders[name, end] = Encoder(name, end)
+        _encoders[name, end] = Encoder(name, end, split_added=False)
     return _encoders[name, end]
 
 
