@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import centroids, centroids_sql, chat, decontaminate, fingerprint, lines, packing, quality, sharding, simhash, suffixes, tokenfile
+from gridlens.llm import centroids, centroids_sql, chat, decontaminate, fingerprint, lines, mixing, mixing_sql, packing, quality, sharding, simhash, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
     digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+@query("op12_source_mixing", mixing_sql.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3).select("doc_id", "size", "source_size", "target", "taken")
