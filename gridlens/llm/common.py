@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,17 +17,20 @@ U64 = np.uint64
 NO_ID = -(1 << 63)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def stage(df: DataFrame, name: str, *folders: str, **options) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    ``folders`` are columns with a folder for each value, so that a filter on them reads nothing else.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path, partitionBy=list(folders) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Remove the folders of a staged table that nothing reads any more."""
     spark, below = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/gridlens/"
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub("/[^/]*$|(/[^/=]*=[^/]*)+/[^/]*$", "", f) for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(below).toUri().getPath()):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import centroids, centroids_sql, chat, decontaminate, fingerprint, lines, mixing, mixing_sql, packing, quality, sharding, simhash, suffixes, tokenfile
+from gridlens.llm import centroids, centroids_sql, chat, decontaminate, fingerprint, lexical, lexical_sql, lines, mixing, mixing_sql, packing, quality, sharding, simhash, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_mixing", mixing_sql.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_lexical_search", lexical_sql.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
