@@ -28,7 +28,7 @@ from gridlens.operators import ordered
 from gridlens.session import LOOKUP_ROWS, lookup, max_group_rows
 
 #: Rows that a range of keys should hold, on average over all sources.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 BLANK = r"\x20\x09-\x0D"
 
 
