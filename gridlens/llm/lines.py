@@ -1,22 +1,23 @@
 """Line dedup by a log-template tree.
 
 A line is a run of tokens, and a token with a digit is a variable field (``<*>``) from the start. The tree has a fixed depth: its first
-level is the number of tokens, the next ones are the leading tokens. What falls into one leaf is one family of lines. In a leaf, a place
-keeps a token that stands there in over ``share`` (a half or more) of the leaf's lines, each counted once a document, and is a variable field otherwise; what comes out is the
-template of the line. If fewer than ``constant`` of its tokens are fixed, the line is only its own template, so that prose that begins
-alike is no family. Lines whose template doesn't recur go on to finer leaves, by their token at the place with the fewest different ones, so
-that each of several families in a leaf comes to its own template. Lines of recurring templates are dropped from all documents, long and short ones.
-
-A template recurs if it stands in ``min_documents`` different documents. Documents whose fingerprints ``simhash`` links, among those that
-hold lines of busy leaves, count as one, and so do copies: a text isn't boilerplate because it was copied whole. How often a document, or a
-group of copies, has the line doesn't matter.
-
-Everything is columns: texts are parsed once into a table of hashes, lines are counted with map-side combining, and only leaves that can
+level is the number of tokens, the next ones are the leading tokens, and lines that are equal so far are parsed together in one leaf. Lines that recur
+as they are need no more. For the other ones of a leaf, the texts of each token at each place are counted, and a line keeps its ``constant`` share of tokens that
+most texts have at their place (ties: the earlier place); the rest are variable fields. What comes out is the line's template. A token counts if it stands in
+``min_documents`` texts at least, and a line without enough such tokens is only its own template, so prose that begins alike is no family. All lines of a family have the
+same frequent tokens, so several families in a leaf come to templates of their own, whatever their values. Lines of recurring
+templates are dropped from all documents, long and short ones.
+
+A template recurs if it stands in ``min_documents`` different documents. Equal texts are one document. So are, for each template, all near copies that have it: a
+text isn't boilerplate because it was copied whole. A text is a near copy if its different lines and those of them that it has in common with other texts have a similarity of ``similar`` or more
+(common / (2 x all - common), the Jaccard similarity to a text of the same length). How often a document, or a group of copies, has the line doesn't matter.
+
+Everything is columns, in a fixed number of passes: texts are parsed once into a table of hashes, lines are counted with map-side combining, and only leaves that can
 hold a template are looked at token by token. A line that a third of all documents share is as many small rows, spread by their documents.
 
 Null texts stay null; empty texts and lines stay as they are. Repeated rows are one document. A text whose lines are all dropped
-becomes empty and keeps its row. In scripts without blanks, a line of one token is split by characters. An empty table gives no rows. Columns beside
-doc_id, text and n_chars pass through.
+becomes empty and keeps its row. Texts and lines of any length are parsed whole; in scripts without blanks, a line of one token is split by characters. An empty table
+gives no rows. Columns beside doc_id, text and n_chars pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm import simhash
 from gridlens.llm.common import row_key, stage
 
-DEPTH, MIN_DOCUMENTS, SHARE, CONSTANT = 3, 5, 0.5, 0.6
+DEPTH, MIN_DOCUMENTS, CONSTANT, SIMILAR = 3, 5, 0.6, 0.8
 #: Numbers that may be broadcast.
 SMALL = 500_000
 #: Letters of scripts without blanks between words: a line of one token with such letters is split by characters.
@@ -95,87 +95,48 @@ def line_texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFram
     return texts.groupBy("o.whole").agg(F.min(alone(F.get("all", F.col("o.at")))).alias("line"))
 
 
-def documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(same, doc): the document that each text of ``wanted`` counts as; near copies are one."""
-    wanted = stage(wanted.distinct(), "line-documents")
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("same"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "same", "left_semi")
-    prints = stage(simhash.with_fingerprint(texts).distinct(), "line-fingerprints")
-    named = simhash.groups(prints.select("fp").distinct()).select("fp", F.col("_c").alias("doc"))
-    return stage(prints.join(stage(named, "line-components"), "fp").select("same", "doc"), "line-identities")
-
-
-def crowded(nodes: DataFrame, min_documents: int) -> DataFrame:
-    """The rows of nodes that have several kinds of lines, in ``min_documents`` documents or more."""
-    several = nodes.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > 1) & (F.col("n") >= min_documents))
-    return nodes.join(stage(several.select("node"), "crowded-nodes"), "node")
-
-
-def tokens(nodes: DataFrame) -> DataFrame:
-    """(node, place, token, n): the documents of each token at each place of a node's lines."""
-    return nodes.select("node", "n", F.posexplode("t").alias("place", "token")).groupBy("node", "place", "token").agg(F.sum("n").alias("n"))
-
-
-def by_majority(nodes: DataFrame, share: float, constant: float) -> DataFrame:
-    """(whole, template) of the lines that keep enough of their tokens by the majorities of their node."""
-    all_of = nodes.groupBy("node").agg(F.sum("n").alias("in_node"))
-    kept = tokens(nodes).filter((F.col("token") != FIELD) & (F.col("n") > 1)).join(all_of, "node").filter(F.col("n") > share * F.col("in_node"))
-    skeletons = kept.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))  # one token a place has over half
-    shaped = nodes.join(stage(skeletons, "leaf-skeletons"), "node")  # two scans: a large leaf can be split
-    general = F.transform("t", lambda x, i: F.when(F.try_element_at("fixed", i) == x, x).otherwise(F.lit(FIELD)))
-    shaped = shaped.withColumn("general", general)
-    enough = F.size(F.filter("general", lambda x: x != FIELD)) >= F.greatest(F.lit(2.0), constant * F.size("t"))
-    return shaped.filter(enough).select("whole", F.xxhash64("node", "general").alias("template"))
-
-
-def divided(nodes: DataFrame, min_documents: int) -> DataFrame:
-    """The nodes one level down: each is cut at the place of fewest tokens, among those with a frequent token and another one.
-
-    A frequent token has a node of its own, the other ones share one, so a place is cut once on any way down and this ends.
-    """
-    nodes = crowded(nodes, min_documents)
-    found = stage(tokens(nodes).withColumn("often", (F.col("n") >= min_documents) & (F.col("token") != FIELD)), "line-tokens")
-    places = found.groupBy("node", "place").agg(F.count("*").alias("tokens"), F.max("often").alias("often"))
-    places = places.filter((F.col("tokens") > 1) & F.col("often")).groupBy("node").agg(F.min(F.struct("tokens", "place")).alias("cut"))
-    often = F.collect_set(F.when(F.col("often"), F.col("token")))
-    cuts = found.join(stage(places.select("node", "cut.place"), "node-cuts"), ["node", "place"]).groupBy("node", "place").agg(often.alias("often"))
-    below = nodes.join(stage(cuts, "node-tokens"), "node")
-    token = F.get("t", F.col("place"))
-    token = F.when(F.array_contains("often", token), token).otherwise(F.lit(FIELD))
-    return crowded(stage(below.select(F.xxhash64("node", "place", token).alias("node"), "whole", "n", "t"), "finer-lines"), min_documents)
-
-
-def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, constant: float = CONSTANT) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, broadcast only if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def families(docs: DataFrame, every: DataFrame, counted: DataFrame, kinds: DataFrame, min_documents: int, constant: float) -> DataFrame:
+    """(whole, template) of the lines that don't recur as they are, but may do so with variable fields."""
+    rest = kinds.filter(F.col("n") < min_documents)
+    several = F.count("*").alias("kinds"), F.sum("n").alias("n")  # n: a leaf has as many texts at most
+    leaves = stage(rest.groupBy("leaf").agg(*several).filter((F.col("kinds") > 1) & (F.col("n") >= min_documents)).select("leaf"), "line-leaves")
+    rest = stage(rest.join(small(leaves), "leaf").select("leaf", "whole"), "varied-lines")
+    texts = line_texts(docs, every, rest.select("whole"))
+    spelled = stage(rest.join(texts, "whole").select("leaf", "whole", parts(F.col("line")).alias("t")), "varied-texts")
+    tokens = spelled.select("leaf", "whole", F.size("t").alias("size"), F.posexplode("t").alias("place", "token")).filter(F.col("token") != FIELD)
+    of = counted.join(small(rest), ["leaf", "whole"])
+    cells = of.join(tokens, ["leaf", "whole"]).groupBy("leaf", "place", "token").agg(F.count_distinct("same").alias("texts"))
+    cells = stage(cells.filter(F.col("texts") >= min_documents), "line-cells")
+    enough = F.greatest(F.lit(2), F.ceil(F.lit(constant) * F.col("size"))).cast("int")
+    kept = tokens.join(small(cells), ["leaf", "place", "token"]).groupBy("leaf", "whole", "size").agg(F.collect_list(F.struct((-F.col("texts")).alias("often"), "place", "token")).alias("kept"))
+    kept = kept.filter(F.size("kept") >= enough)
+    most = F.slice(F.sort_array("kept"), 1, enough)
+    fixed = F.sort_array(F.transform(most, lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token"))))
+    return kept.select("whole", F.xxhash64("leaf", fixed).alias("template"))
+
+
+def templates(docs: DataFrame, every: DataFrame, min_documents: int = MIN_DOCUMENTS, constant: float = CONSTANT, similar: float = SIMILAR) -> DataFrame:
     """``whole`` of the masked lines whose template recurs."""
     counted = stage(every.select("leaf", "whole", "same").distinct(), "line-counts")
-    # A leaf has at most as many documents as rows: smaller leaves can't hold a recurring template.
-    kinds = counted.groupBy("leaf", "whole").agg(F.count("*").alias("places"))
-    leaves = stage(kinds.groupBy("leaf").agg(F.sum("places").alias("places")).filter(F.col("places") >= min_documents).select("leaf"), "busy-leaves")
-    texts = stage(counted.join(leaves, "leaf"), "busy-texts")
-    # Each document counts once, however often it or its copies have the line.
-    busy = stage(texts.join(documents(docs, texts.select("same")), "same").select("leaf", "whole", "doc").distinct(), "busy-lines")
-    kinds = stage(busy.groupBy("leaf", "whole").agg(F.count("*").alias("n")), "line-kinds")
-    found = kinds.filter(F.col("n") >= min_documents).select("whole")
-    # Token by token, where a leaf has several kinds of lines: once per kind, weighted by its documents.
-    nodes = crowded(kinds.withColumnRenamed("leaf", "node"), min_documents)
-    several = stage(nodes.select("node", "whole", "n"), "several-kinds")
-    texts = line_texts(docs, every, several.select("whole"))
-    nodes = stage(several.join(texts, "whole").withColumn("t", parts(F.col("line"))).drop("line"), "several-texts")
-    level = 0
-    while not nodes.isEmpty():
-        shaped = stage(by_majority(nodes, share, constant), f"line-templates-{level}")
-        recurs = shaped.join(busy.select("whole", "doc"), "whole").select("template", "doc").distinct()
-        recurs = stage(recurs.groupBy("template").count().filter(F.col("count") >= min_documents).select("template"), f"recurring-templates-{level}")
-        found = stage(found.unionByName(shaped.join(recurs, "template", "left_semi").select("whole")).distinct(), f"found-lines-{level}")
-        left = stage(nodes.join(found, "whole", "left_anti"), f"undecided-lines-{level}")
-        # A node that has lost lines has other majorities now, so it is looked at again before it is cut.
-        kept = left.groupBy("node").count().join(nodes.groupBy("node").count().withColumnRenamed("count", "before"), "node")
-        kept = stage(kept.select("node", (F.col("count") < F.col("before")).alias("again")), f"node-sizes-{level}")
-        left = stage(left.join(kept, "node"), f"left-lines-{level}")
-        again = crowded(left.filter("again").drop("again"), min_documents)
-        nodes = stage(again.unionByName(divided(left.filter("not again").drop("again"), min_documents)), f"line-nodes-{level}")
-        level += 1
-    return found.distinct()
+    kinds = stage(counted.groupBy("leaf", "whole").agg(F.count("*").alias("n")), "line-kinds")
+    equal = kinds.filter(F.col("n") >= min_documents).select("whole", F.col("whole").alias("template"))
+    # What stands in several texts, copies or not: its texts are counted anew below.
+    found = stage(equal.unionByName(families(docs, every, counted, kinds, min_documents, constant)), "line-templates")
+    held = counted.join(small(found), "whole").select("template", "whole", "same")
+    texts = stage(held, "templates-of-texts")
+    often = texts.select("template", "same").distinct().groupBy("template").count().filter(F.col("count") >= min_documents).select("template")
+    texts = stage(texts.join(small(stage(often, "frequent-templates")), "template"), "texts-of-templates")
+    common = texts.groupBy("same").agg(F.count("*").alias("common"))
+    of = counted.groupBy("same").agg(F.count("*").alias("lines")).join(common, "same")
+    own = stage(of.select("same", (F.col("common") < F.lit(similar) * (2 * F.col("lines") - F.col("common"))).alias("own")), "line-documents")
+    votes = texts.select("template", "same").distinct().join(own, "same").groupBy("template").agg(F.count_if("own").alias("own"), F.max((~F.col("own")).cast("int")).alias("copies"))
+    recurs = stage(votes.filter(F.col("own") + F.col("copies") >= min_documents).select("template"), "recurring-templates")
+    return found.join(small(recurs), "template", "left_semi").select("whole").distinct()
 
 
 def dropped(docs: DataFrame, depth: int = DEPTH, **settings) -> DataFrame:
