@@ -10,7 +10,7 @@ from gridlens.plans.common import PACKETS_SQL, event_alerts, packets, rounded
 from gridlens.plans.registry import query
 from gridlens.session import cut_lineage, scratch
 from gridlens.sources import pcap
-from gridlens.streaming import streams
+from gridlens.streaming import keyed, streams
 
 
 def _hex(c, digits):
@@ -169,34 +169,62 @@ WITH a AS (SELECT event_id, user_id, ts, CAST(props->>'$.k' AS INTEGER) / 100.0:
 b AS (SELECT user_id, min(ts) AS block_ts FROM a WHERE confidence > 0.9 GROUP BY user_id)
 SELECT event_id, a.user_id, coalesce(ts = block_ts, false) AS blocks FROM a LEFT JOIN b ON b.user_id = a.user_id WHERE block_ts IS NULL OR ts <= block_ts""")
 def _(t):
+    return _accepted(t, None, None)
+
+
+@query("stream_block_expiry", """
+WITH RECURSIVE a AS (SELECT event_id, user_id, ts, CAST(props->>'$.k' AS INTEGER) / 100.0::DOUBLE AS confidence FROM events),
+alert AS (SELECT * FROM a WHERE confidence > 0.9),
+block AS (
+  SELECT user_id, min(row(ts, event_id)) AS p FROM alert GROUP BY user_id
+  UNION ALL
+  SELECT b.user_id, (SELECT min(row(x.ts, x.event_id)) FROM alert x WHERE x.user_id = b.user_id AND x.ts >= b.p[1] + INTERVAL '2 hours') AS p
+  FROM block b WHERE b.p IS NOT NULL)
+SELECT event_id, a.user_id, EXISTS (SELECT 1 FROM block b WHERE b.user_id = a.user_id AND b.p = row(a.ts, a.event_id)) AS blocks FROM a
+WHERE NOT EXISTS (SELECT 1 FROM block b WHERE b.user_id = a.user_id AND row(a.ts, a.event_id) > b.p AND a.ts < b.p[1] + INTERVAL '2 hours')""")
+def _(t):
+    return _accepted(t, 7200, streams.DELAY)
+
+
+def _accepted(t, block_s, delay):
     path = scratch(t.spark, "stream")
-    rows = event_alerts(_stream(t, delay=None)).select("event_id", "user_id", "ts", "confidence")
-    accepted, sink = streams.blocking_sink(f"{path}/out", "user_id", ["ts", "event_id"], "confidence",
-                                           "event_id bigint, user_id bigint, ts timestamp, confidence double")
-    streams.run_available(rows, f"{path}/checkpoint", each=sink)
-    return accepted.read(t.spark).select("event_id", "user_id", "blocks")
+    rows = event_alerts(_stream(t, delay)).select("event_id", "user_id", "ts", "confidence")
+    found = keyed.blocked(rows, "user_id", "ts", "event_id", "confidence", block_s=block_s)
+    streams.run_available(found, f"{path}/checkpoint", path=f"{path}/out")
+    return t.spark.read.schema(found.schema).parquet(f"{path}/out").select("event_id", "user_id", "blocks")
 
 
 @query("stream_recent", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def _(t):
-    path = scratch(t.spark, "stream")
-    table, sink = streams.ring_buffer(f"{path}/out", "event_id bigint, user_id bigint, ts timestamp", ["ts", "event_id"], 100)
-    streams.run_available(_stream(t, delay=None).select("event_id", "user_id", "ts"), f"{path}/checkpoint", each=sink)
-    return table.last(t.spark).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return _latest(t, 100, None)
+
+
+@query("stream_recent_by_source", "SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def _(t):
+    return _latest(t, 5, ["user_id"])
+
+
+def _latest(t, n, by):
+    path, order = scratch(t.spark, "stream"), ["ts", "event_id"]
+    found = keyed.ring(_stream(t, delay=None).select("event_id", "user_id", "ts"), order, n, by)
+    streams.run_available(found, f"{path}/checkpoint", path=f"{path}/out")
+    rows = keyed.latest(t.spark.read.schema(found.schema).parquet(f"{path}/out"), order, n, by)
+    return rows.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_sessions", """
 WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
 r AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM n GROUP BY user_id, session)
-SELECT * FROM r""")
+SELECT *, session_end < (SELECT max(ts) FROM events) - INTERVAL '10 minutes' AS closed FROM r""")
 def _(t):
     path = scratch(t.spark, "stream")
-    table, sink = streams.upserted(f"{path}/out", "user_id bigint, session_start timestamp, session_end timestamp, n bigint")
-    # Open sessions are wanted too, and the engine has no update mode for sessions: the whole table, batch by batch.
-    streams.run_available(streams.session_counts(_stream(t), "user_id"), f"{path}/checkpoint", "complete", each=sink)
-    rows = table.last(t.spark).drop("batch")
-    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+    found = keyed.sessions(_stream(t), "user_id", "ts", 1800)
+    streams.run_available(found, f"{path}/checkpoint", path=f"{path}/out")
+    closed = t.spark.read.schema(found.schema).parquet(f"{path}/out").withColumn("closed", F.lit(True))
+    rows = closed.unionByName(keyed.open_sessions(t.spark, f"{path}/checkpoint", "user_id").withColumn("closed", F.lit(False)))
+    at = lambda us: F.timestamp_micros(us).cast("timestamp_ntz")
+    return rows.select("user_id", at(F.col("first")).alias("session_start"), at(F.col("last") + 1_800_000_000).alias("session_end"), "n", "closed")
 
 
 @query("stream_distinct", "SELECT event_id FROM events")
