@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 START_BYTE = 0x68
 SINGLE_POINT_TYPES = (1, 3, 5)
 MEASURED_TYPES = (9, 11, 13)
-# Fixed values of Ethernet and IPv4.
-TYPE_IPV4, TYPE_VLAN, PROTO_TCP, PROTO_UDP = 0x0800, 0x8100, 6, 17
+# Fixed values of Ethernet and of both IP versions; extension headers of IPv6 with their length in the second byte, and the one of 8 bytes.
+TYPE_IPV4, TYPE_IPV6, TYPE_VLAN, PROTO_TCP, PROTO_UDP = 0x0800, 0x86DD, 0x8100, 6, 17
+EXTENSIONS, FRAGMENT = (0, 43, 60, 135), 44
+#: Extension headers that are stepped over.
+EXTENSION_DEPTH = 4
 
 
 def _number(hexed: Column, at: Column | int, count: int = 1) -> Column:
@@ -62,29 +65,48 @@ def valid_frames(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.where((F.length(payload) >= 6) & (F.hex(F.substring(payload, 1, 1)) == f"{START_BYTE:02X}"))
 
 
+def ipv6_text(hexed: Column) -> Column:
+    """The canonical text of an address of 32 hex digits: groups without leading zeros, the longest run of zero groups as ``::``."""
+    groups = [F.lower(F.regexp_replace(F.substring(hexed, 4 * i + 1, 4), "^0{1,3}", "")) for i in range(8)]
+    text = F.concat_ws(":", *groups)
+    runs = {n: f"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}(?::|$)" for n in range(8, 1, -1)}
+    short = F.coalesce(*[F.when(text.rlike(p), F.regexp_replace(text, p, "$1:")) for p in runs.values()], text)
+    return F.when(short.startswith(":"), F.concat(F.lit(":"), short)).otherwise(short)
+
+
 def decode_packets(df: DataFrame, data: str = "data") -> DataFrame:
     """Add src, dst, proto, sport, dport, tcp_flags and payload to Ethernet frames.
 
-    IPv4 addresses where there are any, else MAC addresses; ports for TCP and UDP only. One VLAN tag is stepped over.
+    IP addresses where there are any, else MAC addresses; ports for TCP and UDP only, in the first fragment. One VLAN tag and some extension headers of IPv6 are stepped over.
     """
     hexed = F.col("__hex")
-    base = F.when(_number(hexed, 12, 2) == TYPE_VLAN, 18).otherwise(14)
-    kind = F.when(_number(hexed, 12, 2) == TYPE_VLAN, _number(hexed, 16, 2)).otherwise(_number(hexed, 12, 2))
-    step = df.withColumn("__hex", F.hex(F.substring(data, 1, 160))).select(
-        "*", ((kind == TYPE_IPV4) & (F.length(data) >= base + 20)).alias("__ip"), base.alias("__base"))
-    base, ip = F.col("__base"), F.col("__ip")
+    tagged = _number(hexed, 12, 2) == TYPE_VLAN
+    step = df.withColumn("__hex", F.hex(F.substring(data, 1, 400))).select(
+        "*", F.when(tagged, 18).otherwise(14).alias("__base"), F.when(tagged, _number(hexed, 16, 2)).otherwise(_number(hexed, 12, 2)).alias("__kind"))
+    base, kind = F.col("__base"), F.col("__kind")
     step = step.select(
-        "*", F.when(ip, _byte(hexed, base + 9)).alias("proto"),
-        F.when(ip, base + _byte(hexed, base).bitwiseAND(15) * 4).alias("__l4"))
-    l4, proto = F.col("__l4"), F.col("proto")
+        "*", ((kind == TYPE_IPV4) & (F.length(data) >= base + 20)).alias("__ip"), ((kind == TYPE_IPV6) & (F.length(data) >= base + 40)).alias("__ip6"))
+    ip, ip6, held = F.col("__ip"), F.col("__ip6"), step.columns
+    at = F.when(ip, base + _byte(hexed, base).bitwiseAND(15) * 4).when(ip6, base + 40)
+    step = step.select(*held, F.when(ip, _byte(hexed, base + 9)).when(ip6, _byte(hexed, base + 6)).alias("proto"), at.alias("__l4"), F.lit(False).alias("__later"))
+    proto, l4, later = F.col("proto"), F.col("__l4"), F.col("__later")
+    for _ in range(EXTENSION_DEPTH):
+        more = ip6 & proto.isin(*EXTENSIONS, FRAGMENT) & (F.length(data) >= l4 + 8) & ~later
+        size = F.when(proto == FRAGMENT, 8).otherwise((_byte(hexed, l4 + 1) + 1) * 8)
+        rest = (proto == FRAGMENT) & (F.shiftright(_number(hexed, l4 + 2, 2).cast("int"), 3) > 0)
+        step = step.select(
+            *held, F.when(more, _byte(hexed, l4)).otherwise(proto).alias("proto"), F.when(more, l4 + size).otherwise(l4).alias("__l4"),
+            (later | (F.coalesce(more, F.lit(False)) & F.coalesce(rest, F.lit(False)))).alias("__later"))
     dotted = lambda at: F.concat_ws(".", *[_byte(hexed, at + i).cast("string") for i in range(4)])
     mac = lambda at: F.lower(F.concat_ws(":", *[F.substring(hexed, 2 * (at + i) + 1, 2) for i in range(6)]))
-    ported = proto.isin(PROTO_TCP, PROTO_UDP) & (F.length(data) >= l4 + 4)
-    tcp = (proto == PROTO_TCP) & (F.length(data) >= l4 + 14)
+    wide = lambda at: ipv6_text(F.substring(hexed, at * 2 + 1, F.lit(32)))
+    ported = proto.isin(PROTO_TCP, PROTO_UDP) & (F.length(data) >= l4 + 4) & ~later
+    tcp = (proto == PROTO_TCP) & (F.length(data) >= l4 + 14) & ~later
     start = F.when(tcp, l4 + F.shiftright(_byte(hexed, l4 + 12), 4) * 4).when(ported, l4 + 8)
     return step.select(
         *df.columns,
-        F.when(ip, dotted(base + 12)).otherwise(mac(6)).alias("src"), F.when(ip, dotted(base + 16)).otherwise(mac(0)).alias("dst"),
+        F.when(ip, dotted(base + 12)).when(ip6, wide(base + 8)).otherwise(mac(6)).alias("src"),
+        F.when(ip, dotted(base + 16)).when(ip6, wide(base + 24)).otherwise(mac(0)).alias("dst"),
         "proto", F.when(ported, _number(hexed, l4, 2)).cast("int").alias("sport"), F.when(ported, _number(hexed, l4 + 2, 2)).cast("int").alias("dport"),
         F.when(tcp, _byte(hexed, l4 + 13)).alias("tcp_flags"),
         F.when(start.isNotNull(), F.substring(F.col(data), start + 1, F.length(data))).alias("payload"),

@@ -80,6 +80,64 @@ def _(t):
     return files.select(F.regexp_extract("path", r"([^/]+)-\d+\.pcap$", 1).alias("capture"), "status", "error").distinct()
 
 
+def _ethernet_ipv6():
+    """Ethernet, IPv6 and UDP bytes of a packet behind one hop-by-hop header, with its id as payload."""
+    zeros = lambda n: F.lit("00" * n)
+    return F.unhex(F.concat(
+        F.lit("0A0000000001" "0A0000000002" "86DD"), F.lit("60000000"), _hex(F.lit(24), 4), F.lit("0040"),
+        F.lit("FD00"), zeros(10), F.lit("0001"), _hex(F.pmod("user_id", F.lit(65536)), 4), F.lit("FD00"), zeros(13), F.lit("09"),
+        F.lit("1100"), zeros(6), _hex("sport", 4), _hex("dport", 4), _hex(F.lit(16), 4), zeros(2), _hex("packet_id", 16)))
+
+
+def _write_mixed(t, folder):
+    """Captures of IPv6 packets, of both formats by the event type, with a broken part in the middle and one record of 20 MB."""
+    rows = packets(t.events).withColumn("data", _ethernet_ipv6()).select("event_type", "ts_us", "packet_id", "length", "data")
+    spread = rows.repartitionByRange(4, "event_type", "ts_us", "packet_id").sortWithinPartitions("event_type", "ts_us", "packet_id")
+
+    def write(batches):
+        import struct
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        def record(kind, us, length, data):
+            if kind != "click":
+                return struct.pack("<IIII", us // 1000000, us % 1000000, len(data), length) + data
+            body = struct.pack("<IIIII", 0, us >> 32, us & 0xFFFFFFFF, len(data), length) + data + bytes(-len(data) % 4)
+            return struct.pack("<II", 6, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+        section = struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28) + struct.pack("<IIHHII", 1, 20, 1, 0, 0, 20)
+        starts = {"click": section}
+        task, written = TaskContext.get().partitionId(), {}
+        for b in batches:
+            for kind, group in b.groupby("event_type", sort=False):
+                if kind not in written:
+                    out = written[kind] = pcap.create(f"{folder}/{kind}-{task}.{'pcapng' if kind == 'click' else 'pcap'}")
+                    out.write(starts.get(kind, struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 26, 1)))
+                out = written[kind]
+                for i, (us, length, data) in enumerate(zip(group["ts_us"], group["length"], group["data"])):
+                    out.write(record(kind, us, length, data))
+                    if i == len(group) // 2:
+                        out.write(b"\xee" * 5000)
+                        if task == 0:
+                            out.write(record(kind, us, 20 << 20, b"\x02" * 12 + b"\x88\xb5" + bytes(20 << 20)))
+        for out in written.values():
+            out.close()
+        yield pd.DataFrame({"n": [len(written)]})
+
+    return spread.mapInPandas(write, "n int").agg(F.sum("n")).first()[0]
+
+
+@query("pcap_mixed", f"""
+WITH {PACKETS_SQL} SELECT packet_id, ts, 'fd00::1:' || lower(to_hex(user_id % 65536)) AS src, 'fd00::9' AS dst, 17 AS proto, sport, dport, CAST(length AS BIGINT) AS length FROM packets""")
+def _(t):
+    folder = scratch(t.spark, "captures")
+    _write_mixed(t, folder)
+    found, _ = pcap.read_captures(t.spark, folder)
+    packet_id = F.conv(F.hex("payload"), 16, 10).cast("bigint")
+    return found.where("proto = 17").select(packet_id.alias("packet_id"), "ts", "src", "dst", "proto", "sport", "dport", "length")
+
+
 # Frames: type by the id, two objects whose values come from the payload number.
 FRAMES_SQL = """f AS (SELECT event_id, ([1, 9, 45, 30])[CAST(event_id % 4 AS INTEGER) + 1] AS type, CAST(props->>'$.k' AS INTEGER) AS k, CAST(user_id % 48 AS INTEGER) AS cot FROM events WHERE event_id % 5 <> 0)"""
 

@@ -1,152 +1,98 @@
-"""Capture files as a splittable source.
+"""Packets of capture files, and the state of each file.
 
-A first pass over the files hops from record header to record header and cuts each file into
-byte ranges at record borders; a second pass reads the ranges in parallel. So one huge capture is
-many tasks, and neither a file nor its content is ever held whole. Records are decoded by
-column expressions (functions/frames.py).
+The files are read by the ``capture`` source (sources/capture.py), each byte range once, into a stored table. Where ranges of a file don't agree on
+a border, the later one had taken payload for a record header: only such ranges are read again, from the border. Records are decoded by column expressions (functions/frames.py).
 """
 
 from __future__ import annotations
 
-import os
-import struct
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.frames import decode_packets
-from gridlens.session import cut_lineage
+from gridlens.session import LOOKUP_ROWS, scratch
+from gridlens.sources.capture import ETHERNET, HEADER, RECORD, SCHEMA, SPLIT_BYTES, CaptureSource, read_range
+from gridlens.sources.files import file_system
 
-# The four magic numbers of capture files as (byte order, ticks per microsecond).
-MAGIC = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
-    b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000),
-}
-HEADER, RECORD, ETHERNET = 24, 16, 1
-SPLIT_BYTES = 64 << 20
-_BLOCK = 8 << 20
-_LARGEST_PACKET = 1 << 24
+__all__ = ["ETHERNET", "HEADER", "RECORD", "create", "packets", "packet_stream", "read_captures", "read_ranges"]
 
-
-def _open(path: str):
-    """A seekable file for a path as Spark names it."""
-    if path.startswith("file:"):
-        from urllib.parse import unquote
-
-        return open(unquote("/" + path[5:].lstrip("/")), "rb")
-    if "://" not in path:
-        return open(path, "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+PATTERN = "*.pcap,*.pcapng"
 
 
 def create(path: str):
     """A new binary file at a path as Spark names it; missing folders are made."""
-    if "://" in path and not path.startswith("file:"):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        return system.open_output_stream(inner)
-    local = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    return open(local, "wb")
-
-
-def _ranges(path: str, length: int, split: int):
-    """(path, start, stop, order, ticks, status, error) rows of one file."""
-    with _open(path) as f:
-        head = f.read(HEADER)
-        if head[:4] not in MAGIC:
-            yield path, 0, 0, None, None, "failed", "no capture file" if len(head) >= 4 else "truncated header"
-            return
-        order, ticks = MAGIC[head[:4]]
-        if len(head) < HEADER:
-            yield path, 0, 0, None, None, "failed", "truncated header"
-            return
-        if struct.unpack(order + "I", head[20:24])[0] != ETHERNET:
-            yield path, 0, 0, None, None, "failed", "link type is not Ethernet"
-            return
-        at = start = HEADER
-        block, block_at, error = b"", HEADER, None
-        while at < length:
-            if at + RECORD > block_at + len(block):
-                f.seek(at)
-                block, block_at = f.read(_BLOCK), at
-            offset = at - block_at
-            if len(block) - offset < RECORD:
-                error = "truncated record"
-                break
-            size = struct.unpack_from(order + "I", block, offset + 8)[0]
-            if size > _LARGEST_PACKET:
-                error = "bad record length"
-                break
-            if at + RECORD + size > length:
-                error = "truncated record"
-                break
-            at += RECORD + size
-            if at - start >= split:
-                yield path, start, at, order, ticks, "ok", None
-                start = at
-        if at > start or error is None:
-            yield path, start, at, order, ticks, "ok", None
-        if error:
-            yield path, at, at, order, ticks, "partial", error
-
-
-def capture_index(spark: SparkSession, folder: str, pattern: str = "*.pcap", split: int = SPLIT_BYTES) -> DataFrame:
-    """Byte ranges of all captures below a folder, with status and error. Written once, as both outputs read it."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .load(folder).select("path", "length")  # the content column is pruned: nothing is read here
-    )
-
-    def index(batches):
-        for b in batches:
-            for path, length in zip(b["path"], b["length"]):
-                try:
-                    rows = list(_ranges(path, int(length), split))
-                except OSError as error:
-                    rows = [(path, 0, 0, None, None, "failed", str(error))]
-                yield pd.DataFrame(rows, columns=["path", "start", "stop", "order", "ticks", "status", "error"]).astype({"ticks": "Int32"})
-
-    spread = files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
-    return cut_lineage(spread.mapInPandas(index, "path string, start bigint, stop bigint, order string, ticks int, status string, error string"))
-
-
-def read_records(index: DataFrame) -> DataFrame:
-    """(path, offset, ts_us, length, data): one row per packet; (path, offset) is unique."""
-    def read(batches):
-        for b in batches:
-            for path, start, stop, order, ticks in zip(b["path"], b["start"], b["stop"], b["order"], b["ticks"]):
-                rows, at = [], int(start)
-                with _open(path) as f:
-                    f.seek(at)
-                    while at < stop:
-                        head = f.read(RECORD)
-                        seconds, fraction, size, full = struct.unpack(order + "IIII", head)
-                        rows.append((path, at, seconds * 1000000 + fraction // int(ticks), full, f.read(size)))
-                        at += RECORD + size
-                        if len(rows) >= 10000:
-                            yield pd.DataFrame(rows, columns=["path", "offset", "ts_us", "length", "data"])
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "offset", "ts_us", "length", "data"])
-
-    parallel = index.sparkSession.sparkContext.defaultParallelism * 4
-    work = index.where("status = 'ok' AND stop > start").repartition(parallel, "path", "start")
-    return work.select("path", "start", "stop", "order", "ticks").mapInPandas(
-        read, "path string, offset bigint, ts_us bigint, length bigint, data binary")
-
-
-def read_captures(spark: SparkSession, folder: str, pattern: str = "*.pcap", split: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    system, inner = file_system(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _disagreeing(held: DataFrame) -> DataFrame:
+    """(path, border, ranges): runs of ranges that don't begin where the records before them end, with the place where those of the first run's range do."""
+    ranges = held.filter("status IS NOT NULL").select("path", "range_start", "range_stop", F.col("offset").alias("first"), "next")
+    by_place = Window.partitionBy("path").orderBy("range_start")
+    border = F.max("next").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.col("border") < F.col("range_stop")
+    wrong = (F.col("border") >= F.col("range_start")) & F.when(inside, ~F.col("first").eqNullSafe(F.col("border"))).otherwise(F.col("first").isNotNull())
+    marked = ranges.withColumn("border", border).withColumn("wrong", F.coalesce(wrong, F.lit(False)))
+    begins = F.col("wrong") & ~F.coalesce(F.lag("wrong").over(by_place), F.lit(False))
+    marked = marked.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(by_place)).filter("wrong")
+    runs = F.sort_array(F.collect_list(F.struct("range_start", "range_stop"))).alias("ranges")
+    return marked.groupBy("path", "run").agg(F.min("border").alias("border"), runs).select("path", "border", "ranges")
+
+
+def read_ranges(spark: SparkSession, folder: str, pattern: str = PATTERN, split: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of the ``capture`` source (packets, and a row with a status per range), stored, with all ranges in agreement."""
+    spark.dataSource.register(CaptureSource)
+    held = _stored(spark.read.format("capture").option("pattern", pattern).option("splitBytes", split).load(folder), "captures")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, inner = file_system(r["path"])
+                size, at = system.get_file_info(inner).size, r["border"]
+                for part in r["ranges"]:  # one after the other, as each ends where the next one begins
+                    for rows in read_range(r["path"], size, part["range_start"], part["range_stop"], at):
+                        yield rows
+                    at = rows.column("next")[-1].as_py()
+
+    while True:
+        wrong = _stored(_disagreeing(held), "capture-borders")
+        n = wrong.count()
+        if not n:
+            return held
+        spread = wrong.repartition(min(n, spark.sparkContext.defaultParallelism * 4), "path", "border")
+        mended = _stored(spread.mapInArrow(again, SCHEMA), "captures-again")
+        keys = _stored(wrong.select("path", F.explode("ranges.range_start").alias("range_start")), "capture-ranges")
+        rest = held.join(F.broadcast(keys) if keys.count() <= LOOKUP_ROWS else keys, ["path", "range_start"], "left_anti")
+        held = rest.select(*held.columns).unionByName(mended)
+
+
+def packets(rows: DataFrame) -> DataFrame:
+    """Decoded packets of rows of the ``capture`` source, from a table or a stream; (path, offset) is unique."""
+    kept = rows.filter("status IS NULL").select("path", "offset", "ts_us", "length", "data")
+    return decode_packets(kept).withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+
+
+def packet_stream(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
+    """Decoded packets of the captures that arrive in a folder; a file is taken once, whole."""
+    spark.dataSource.register(CaptureSource)
+    return packets(spark.readStream.format("capture").option("pattern", pattern).load(folder))
+
+
+def read_captures(spark: SparkSession, folder: str, pattern: str = PATTERN, split: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(packets, files): decoded packets, and each file with its status ok, partial or failed and the first error."""
-    index = capture_index(spark, folder, pattern, split)
-    packets = decode_packets(read_records(index)).withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+    held = read_ranges(spark, folder, pattern, split)
     worst = F.max(F.when(F.col("status") == "failed", 2).when(F.col("status") == "partial", 1).otherwise(0))
-    files = index.groupBy("path").agg(worst.alias("w"), F.max("error").alias("error")).select(
+    errors = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("range_start")))
+    files = held.filter("status IS NOT NULL").groupBy("path").agg(worst.alias("w"), errors.alias("error")).select(
         "path", F.element_at(F.array(F.lit("ok"), F.lit("partial"), F.lit("failed")), F.col("w") + 1).alias("status"), "error")
-    return packets, files
+    return packets(held), files
