@@ -13,6 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,22 @@ def as_vectors(df: DataFrame, features: str | list[str], label: str, keep: tuple
 class OneAgainstRest(Estimator):
     """A binary classifier per class, with class probabilities, so that ensembles can use it like any other.
 
-    With two classes one classifier is enough.
+    With two classes one classifier is enough. Its parameters are those of the binary classifier, so a grid over them works.
     """
 
     def __init__(self, base: Estimator, classes: int, parallelism: int = 4):
         super().__init__()
         self.base, self.classes, self.parallelism = base, classes, parallelism
 
+    def getParam(self, paramName: str):
+        return self.base.getParam(paramName)
+
+    def hasParam(self, paramName: str) -> bool:
+        return self.base.hasParam(paramName)
+
+    def copy(self, extra=None) -> OneAgainstRest:
+        return OneAgainstRest(self.base.copy(extra), self.classes, self.parallelism)
+
     def _fit(self, df: DataFrame) -> OneAgainstRestModel:
         one = [1] if self.classes == 2 else range(self.classes)
         with ThreadPoolExecutor(self.parallelism) as pool:
@@ -50,13 +60,41 @@ class OneAgainstRest(Estimator):
         return OneAgainstRestModel(list(fits))
 
 
-class OneAgainstRestModel(Model):
+class _Parts(MLWriter):
+    """Saves a model of several models: its metadata, and a sub-folder for each."""
+
+    def __init__(self, model: OneAgainstRestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"parts": len(self.model.models)})
+        for i, part in enumerate(self.model.models):
+            part.write().save(f"{path}/part-{i}")
+
+
+class _PartsReader(MLReader):
+    def load(self, path: str) -> OneAgainstRestModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = OneAgainstRestModel([DefaultParamsReader.loadParamsInstance(f"{path}/part-{i}", self.sparkSession) for i in range(metadata["parts"])])
+        model._resetUid(metadata["uid"])
+        return model
+
+
+class OneAgainstRestModel(Model, MLWritable, MLReadable):
     """Probabilities of the binary models, normalised; a model without them gives the logistic of its margin."""
 
     def __init__(self, models: list[Model]):
         super().__init__()
         self.models = models
 
+    def write(self) -> MLWriter:
+        return _Parts(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _PartsReader()
+
     def _transform(self, df: DataFrame) -> DataFrame:
         keep = [c for c in df.columns if c not in ("prediction", "probability", "rawPrediction")]
         out, shares = df.select(*keep), []

@@ -171,6 +171,23 @@ def test_search_and_cross_validation(blobs):
     assert mean > 0.85 and 0 <= spread < 0.2
 
 
+@pytest.mark.parametrize("kind,classes,grid", [("svm", 2, {"maxIter": [5, 10]}), ("boosted", 3, {"maxIter": [1]})])
+def test_search_over_one_against_rest(blobs, kind, classes, grid):
+    rows = blobs.where(F.col("label") < classes)
+    best, table = models.grid_search(kind, rows, "id", classes, grid, folds=2)
+    assert sorted(next(iter(p.values())) for p, _ in table) == sorted(next(iter(grid.values()))) and rate(best.transform(rows)) > 0.9
+
+
+@pytest.mark.parametrize("kind,classes,params", [("svm", 2, {"maxIter": 5}), ("svm", 3, {"maxIter": 5}), ("boosted", 3, {"maxIter": 2})])
+def test_bundles_of_one_against_rest(spark, tmp_path, kind, classes, params):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % classes)) for i in range(120)], "id int, a double, b double, y int")
+    model = models.fit_pipeline(kind, df, ["a", "b"], "y", classes, **params)
+    models.save_bundle(str(tmp_path), model, ["a", "b"], [str(c) for c in range(classes)], spark)
+    again, features, _ = models.load_bundle(str(tmp_path), spark)
+    scored = lambda m: [(r.id, r.prediction, list(r.probability)) for r in m.transform(df.withColumn("label", F.col("y").cast("double"))).orderBy("id").select("id", "prediction", "probability").collect()]
+    assert features == ["a", "b"] and scored(again) == scored(model)
+
+
 def test_importance_elimination_and_selection(blobs, spark):
     model = models.classifier("tree", 3).fit(blobs)
     rows = blobs.select("id", "label", F.expr("array()").cast("array<double>").alias("none"), "features")
