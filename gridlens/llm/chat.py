@@ -7,7 +7,7 @@ the spans hold where that is, counted in characters of prompt + completion. All
 Turns are put in order by number, then role and text; null roles and texts are empty, null numbers come first, and a null key is one
 conversation. Repeated turns stay. A pair with one side only has an empty other side; equal conversations are all prompt and have two empty
 completions. An empty table gives no rows; other columns are ignored. A conversation is one row of the result, so its turns meet in
-one task; nothing else is gathered.
+one task; nothing else is gathered. Texts of any length are rendered whole.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ the share of common phrases (exact for texts of few phrases); two fingerprints w
 
 Null is the empty text, whose fingerprint is empty. Equal texts have equal fingerprints. Texts are parsed whole in one task; a
 text needs memory in proportion to its own length, and many texts are parsed together. Repeated rows and ids keep a row each.
+An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

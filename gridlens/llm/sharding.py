@@ -5,6 +5,7 @@ belongs to it moves, and all of these move into it. Places inside a shard (slots
 sub-buckets of a shard, whose starts are prefix sums of their counts, so no task orders a whole shard.
 
 A null id hashes like any value; equal ids go to the same shard; null texts are empty (size 1). Repeated rows get slots of their own.
+Texts of any length count whole. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

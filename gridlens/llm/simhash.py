@@ -11,7 +11,8 @@ counters add up the differing planes of all of them at once, and a block is aban
 A group reports a spanning forest of its links, not its pairs.
 
 Null and empty texts have no words and the fingerprint zero, linked like any other. Repeated rows and ids keep a row each. A null
-doc_id never names a component unless it has no other id. An empty table gives no rows; other columns are ignored.
+doc_id never names a component unless it has no other id. An empty table gives no rows; other columns are ignored. Texts of any length
+are hashed whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ prefix sums over the parts, so no task needs the ids of another. A task writes u
 names only the files of attempts that Spark has committed, so a re-run task can't leave a half-written part behind.
 
 Null texts are empty (the end id only), null ids sort first and come back null; repeated ids keep all their rows, in the order of
-a hash of the text; an empty table gives an empty manifest.
+a hash of the text; an empty table gives an empty manifest. A text of any length is encoded whole, in one task. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
