@@ -65,13 +65,16 @@ def valid_frames(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.where((F.length(payload) >= 6) & (F.hex(F.substring(payload, 1, 1)) == f"{START_BYTE:02X}"))
 
 
-def ipv6_text(hexed: Column) -> Column:
-    """The canonical text of an address of 32 hex digits: groups without leading zeros, the longest run of zero groups as ``::``."""
-    groups = [F.lower(F.regexp_replace(F.substring(hexed, 4 * i + 1, 4), "^0{1,3}", "")) for i in range(8)]
-    text = F.concat_ws(":", *groups)
-    runs = {n: f"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}(?::|$)" for n in range(8, 1, -1)}
-    short = F.coalesce(*[F.when(text.rlike(p), F.regexp_replace(text, p, "$1:")) for p in runs.values()], text)
-    return F.when(short.startswith(":"), F.concat(F.lit(":"), short)).otherwise(short)
+def _groups(hexed: Column) -> Column:
+    """The eight groups of an address of 32 hex digits, without leading zeros."""
+    return F.concat_ws(":", *[F.lower(F.regexp_replace(F.substring(hexed, 4 * i + 1, 4), "^0{1,3}", "")) for i in range(8)])
+
+
+def _shortened(text: Column) -> Column:
+    """The canonical text of an address: the longest run of zero groups as ``::``. ``text`` should be a column, as it is used often."""
+    runs = [f"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}(?::|$)" for n in range(8, 1, -1)]
+    short = F.coalesce(*[F.when(text.rlike(p), F.regexp_replace(text, p, "$1:")) for p in runs], text)
+    return F.regexp_replace(short, "^:", "::")
 
 
 def decode_packets(df: DataFrame, data: str = "data") -> DataFrame:
@@ -90,23 +93,32 @@ def decode_packets(df: DataFrame, data: str = "data") -> DataFrame:
     at = F.when(ip, base + _byte(hexed, base).bitwiseAND(15) * 4).when(ip6, base + 40)
     step = step.select(*held, F.when(ip, _byte(hexed, base + 9)).when(ip6, _byte(hexed, base + 6)).alias("proto"), at.alias("__l4"), F.lit(False).alias("__later"))
     proto, l4, later = F.col("proto"), F.col("__l4"), F.col("__later")
-    for _ in range(EXTENSION_DEPTH):
-        more = ip6 & proto.isin(*EXTENSIONS, FRAGMENT) & (F.length(data) >= l4 + 8) & ~later
-        size = F.when(proto == FRAGMENT, 8).otherwise((_byte(hexed, l4 + 1) + 1) * 8)
-        rest = (proto == FRAGMENT) & (F.shiftright(_number(hexed, l4 + 2, 2).cast("int"), 3) > 0)
-        step = step.select(
-            *held, F.when(more, _byte(hexed, l4)).otherwise(proto).alias("proto"), F.when(more, l4 + size).otherwise(l4).alias("__l4"),
-            (later | (F.coalesce(more, F.lit(False)) & F.coalesce(rest, F.lit(False)))).alias("__later"))
+
+    def stepped(at: Column, _: Column) -> Column:
+        number, place, beyond = at["proto"], at["l4"], at["later"]
+        more = number.isin(*EXTENSIONS, FRAGMENT) & (F.length(data) >= place + 8) & ~beyond
+        size = F.when(number == FRAGMENT, 8).otherwise((_byte(hexed, place + 1) + 1) * 8)
+        rest = (number == FRAGMENT) & (F.shiftright(_number(hexed, place + 2, 2).cast("int"), 3) > 0)
+        return F.when(more, F.struct(_byte(hexed, place).alias("proto"), (place + size).alias("l4"), rest.alias("later"))).otherwise(at)
+
+    # Only packets with extension headers are looked at again.
+    start = F.struct("proto", F.col("__l4").alias("l4"), F.col("__later").alias("later"))
+    extended = F.aggregate(F.array(*[F.lit(i) for i in range(EXTENSION_DEPTH)]), start, stepped)
+    step = step.select("*", F.when(ip6 & proto.isin(*EXTENSIONS, FRAGMENT), extended).alias("__ext"))
+    known = F.col("__ext").isNotNull()
+    six = lambda at: F.when(ip6, _groups(F.substring(hexed, at * 2 + 1, F.lit(32))))
+    step = step.select(
+        *held, F.when(known, F.col("__ext.proto")).otherwise(proto).alias("proto"), F.when(known, F.col("__ext.l4")).otherwise(l4).alias("__l4"),
+        F.when(known, F.col("__ext.later")).otherwise(later).alias("__later"), six(base + 8).alias("__from6"), six(base + 24).alias("__to6"))
     dotted = lambda at: F.concat_ws(".", *[_byte(hexed, at + i).cast("string") for i in range(4)])
     mac = lambda at: F.lower(F.concat_ws(":", *[F.substring(hexed, 2 * (at + i) + 1, 2) for i in range(6)]))
-    wide = lambda at: ipv6_text(F.substring(hexed, at * 2 + 1, F.lit(32)))
     ported = proto.isin(PROTO_TCP, PROTO_UDP) & (F.length(data) >= l4 + 4) & ~later
     tcp = (proto == PROTO_TCP) & (F.length(data) >= l4 + 14) & ~later
     start = F.when(tcp, l4 + F.shiftright(_byte(hexed, l4 + 12), 4) * 4).when(ported, l4 + 8)
     return step.select(
         *df.columns,
-        F.when(ip, dotted(base + 12)).when(ip6, wide(base + 8)).otherwise(mac(6)).alias("src"),
-        F.when(ip, dotted(base + 16)).when(ip6, wide(base + 24)).otherwise(mac(0)).alias("dst"),
+        F.when(ip, dotted(base + 12)).when(ip6, _shortened(F.col("__from6"))).otherwise(mac(6)).alias("src"),
+        F.when(ip, dotted(base + 16)).when(ip6, _shortened(F.col("__to6"))).otherwise(mac(0)).alias("dst"),
         "proto", F.when(ported, _number(hexed, l4, 2)).cast("int").alias("sport"), F.when(ported, _number(hexed, l4 + 2, 2)).cast("int").alias("dport"),
         F.when(tcp, _byte(hexed, l4 + 13)).alias("tcp_flags"),
         F.when(start.isNotNull(), F.substring(F.col(data), start + 1, F.length(data))).alias("payload"),
