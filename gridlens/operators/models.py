@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.names import align
 from gridlens.operators import ensemble
 from gridlens.operators.anomaly import fourier_features
+from gridlens.operators.boosting import BoostedTrees
 from gridlens.operators.evaluate import accuracy
 from gridlens.operators.sampling import donors, with_fold
 from gridlens.session import cut_lineage
@@ -124,6 +125,8 @@ def classifier(kind: str, classes: int = 2, width: int | None = None, seed: int
     if kind == "boosted":
         boosted = GBTClassifier(seed=seed, **{"maxIter": 20, "maxDepth": 5, **params})
         return boosted if classes == 2 else OneAgainstRest(boosted, classes)
+    if kind == "histogram":  # 300 rounds by default, all classes in one fit
+        return BoostedTrees(seed=seed, **params)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(seed=seed, **{"layers": [width, 64, 32, classes], "maxIter": 60, **params})
     if kind == "svm":

@@ -48,7 +48,37 @@ def _(t):
 
 @query("gbt_predict")
 def _(t):
-    return _fit_and_score(t, "boosted", binary=True, maxIter=8, maxDepth=3)
+    return _fit_and_score(t, "histogram", maxIter=20, maxDepth=4, stepSize=0.2)
+
+
+REGIMES_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)
+SELECT vec_id, 2 * (CAST(a > -0.12 AS INTEGER) + CAST(a > -0.03 AS INTEGER) + CAST(a > 0.05 AS INTEGER) + CAST(a > 0.13 AS INTEGER)) + CAST(b > 0 AS INTEGER) AS truth,
+  md5(CAST(vec_id AS VARCHAR)) < '33' AS held_out, TRUE AS whole, TRUE AS floor_met FROM v WHERE a IS NOT NULL AND b IS NOT NULL"""
+
+
+def _regimes(t):
+    """Vectors with one of ten classes that follow from their first two elements; a fifth, by the id's hash, is held out."""
+    a, b = (F.col("embedding")[i].cast("double") for i in (0, 1))
+    band = sum(((a > c).cast("int") for c in (-0.03, 0.05, 0.13)), (a > -0.12).cast("int"))
+    rows = t.embeddings.select("vec_id", "embedding", (2 * band + (b > 0).cast("int")).alias("truth"),
+                               (F.md5(F.col("vec_id").cast("string")) < "33").alias("held_out")).where("truth is not null")
+    return cut_lineage(models.as_vectors(rows, "embedding", "truth", keep=("vec_id", "held_out")))
+
+
+def _above_floor(scored, floor):
+    """Per row its class, whether its probabilities sum to one, and whether the held-out rows reach the accuracy ``floor``."""
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda s, v: s + v)
+    scored = cut_lineage(scored.select("vec_id", F.col("label").cast("int").alias("truth"), "held_out", (F.abs(total - 1) < 1e-9).alias("whole"), "prediction"))
+    reached = scored.where("held_out").agg((F.avg((F.col("prediction") == F.col("truth")).cast("double")) >= floor).alias("floor_met"))
+    return scored.drop("prediction").crossJoin(F.broadcast(reached))  # one row
+
+
+@query("gbt_regimes", REGIMES_SQL)
+def _(t):
+    rows = _regimes(t)
+    model = models.classifier("histogram", 10, maxIter=15, maxDepth=4, stepSize=0.3).fit(rows.where("not held_out"))
+    return _above_floor(model.transform(rows), 0.8)
 
 
 @query("adaboost_predict")
