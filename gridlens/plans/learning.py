@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gridlens.operators import ablation, anomaly, models, neighbors, robust, sampling, selection
+from gridlens.operators import ablation, anomaly, density, models, neighbors, robust, sampling, selection
 from gridlens.plans.common import rounded, vector_columns
 from gridlens.plans.registry import query
 from gridlens.session import cut_lineage, scratch
@@ -254,6 +254,20 @@ def _(t):
     return neighbors.density_noise(points, "event_id", ["x", "y"], 0.5, 5)
 
 
+@query("dbscan_clusters", """
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON list_distance(a.e, b.e) <= 1.15),
+c AS MATERIALIZED (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 4),
+l AS MATERIALIZED (SELECT a, b FROM p SEMI JOIN c ON c.id = a WHERE b IN (SELECT id FROM c)),
+r(id, reached) AS (SELECT id, id FROM c UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT id, min(reached) AS cluster FROM r GROUP BY id),
+o AS (SELECT a AS id, min(cluster) AS cluster FROM p JOIN k ON k.id = b WHERE a NOT IN (SELECT id FROM c) GROUP BY a)
+SELECT v.id, coalesce(k.cluster, o.cluster) AS cluster, CASE WHEN k.id IS NOT NULL THEN 'core' WHEN o.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind
+FROM v LEFT JOIN k ON k.id = v.id LEFT JOIN o ON o.id = v.id""")
+def _(t):
+    return density.clusters(t.embeddings, "vec_id", "embedding", 1.15, 4)
+
+
 # ---- anomaly detectors ----------------------------------------------------------------------
 
 @query("iforest")
