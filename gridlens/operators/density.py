@@ -67,9 +67,9 @@ def clusters(df: DataFrame, row_id: str, features: str, eps: float, min_points:
         while changed:
             before = name.copy()
             for first, close in blocks:
-                for row in close[core[first:first + len(close)]]:
-                    if row.any():
-                        name[row] = name[row].min()
+                close = close[core[first:first + len(close)]]
+                least = np.where(close, name, len(name)).min(axis=1, initial=len(name))
+                name = np.minimum(name, np.where(close, least[:, None], len(name)).min(axis=0, initial=len(name)))
             name = np.minimum(name, name[name])
             changed = not np.array_equal(before, name)
         for first, close in blocks:
@@ -93,12 +93,27 @@ def clusters(df: DataFrame, row_id: str, features: str, eps: float, min_points:
 
 
 def _blocks(queries: pd.DataFrame, members: pd.DataFrame, eps: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the first query, whether each member is within reach of each query) by slices of queries."""
+    """(place of the first query, whether each member is within reach of each query) by slices of queries.
+
+    One matrix product tells most pairs apart; those it leaves within rounding of ``eps`` are added up by coordinate.
+    """
     if not len(queries) or not len(members):
         return
     qx, x = np.stack(queries["qx"].to_numpy()), np.stack(members["x"].to_numpy())
+    norms = (x ** 2).sum(axis=1)
     for first in range(0, len(qx), SLICE):
-        yield first, _distances(qx[first:first + SLICE], x) <= eps
+        part = qx[first:first + SLICE]
+        sizes = (part ** 2).sum(axis=1)[:, None] + norms[None]
+        over = sizes - 2 * (part @ x.T) - eps * eps
+        close = over <= 0
+        q, m = np.nonzero(~(np.abs(over) > 1e-10 * (sizes + eps * eps)))  # also where numbers are too large for squares
+        for some in range(0, len(q), 1 << 16):
+            i, j = q[some:some + (1 << 16)], m[some:some + (1 << 16)]
+            total = np.zeros(len(i))
+            for c in range(x.shape[1]):
+                total += (part[i, c] - x[j, c]) ** 2
+            close[i, j] = np.sqrt(total) <= eps
+        yield first, close
 
 
 def _eps_join(distinct: DataFrame, total: int, eps: float, seed: int, pivots: int | None, chunk: int) -> tuple[DataFrame, DataFrame]:
