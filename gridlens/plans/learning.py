@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gridlens.operators import ablation, anomaly, density, models, neighbors, robust, sampling, selection
+from gridlens.operators import ablation, anomaly, density, models, neighbors, robust, sampling, selection, vector_index
 from gridlens.plans.common import rounded, vector_columns
 from gridlens.plans.registry import query
 from gridlens.session import cut_lineage, scratch
@@ -226,6 +226,18 @@ def _(t):
     return rounded(neighbors.knn(t.embeddings, "vec_id", "embedding", 5), ["distance"], 5)
 
 
+@query("knn_index", """
+SELECT vec_id AS id, least(10, (SELECT count(*) FROM embeddings) - 1) AS found, TRUE AS in_order, TRUE AS recall_met FROM embeddings WHERE vec_id % 100 = 0""")
+def _(t):
+    # Every hundredth id asks all rows; the recall is measured on other, sampled rows against all rows.
+    index = vector_index.build(t.embeddings, "vec_id", "embedding", scratch(t.spark, "index"))
+    met = vector_index.recall(t.spark, index) >= 0.9
+    found = vector_index.search(index, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "distance")))
+    ranked = found.groupBy("id").agg(F.count(F.lit(1)).alias("found"), in_order.alias("r"))
+    return ranked.select("id", "found", (F.col("r.distance") == F.array_sort("r.distance")).alias("in_order"), F.lit(met).alias("recall_met"))
+
+
 @query("knn_vote", f"""
 WITH {KNN_SQL.format(k=5)}, c AS (SELECT id, label, count(*) AS n FROM nn JOIN v ON v.vec_id = neighbor GROUP BY id, label)
 SELECT id, CAST(arg_min(label, -n * 1000 + label) AS INTEGER) AS predicted FROM c GROUP BY id""")
