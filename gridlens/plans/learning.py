@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gridlens.operators import ablation, anomaly, density, models, neighbors, robust, sampling, selection, vector_index
+from gridlens.operators import ablation, anomaly, density, models, neighbors, novelty, robust, sampling, selection, vector_index
 from gridlens.plans.common import rounded, vector_columns
 from gridlens.plans.registry import query
 from gridlens.session import cut_lineage, scratch
@@ -254,6 +254,34 @@ def _(t):
     return rounded(neighbors.local_outlier_factor(neighbors.knn(t.embeddings, "vec_id", "embedding", 20), 20), ["lof"], 5)
 
 
+@query("lof_novelty", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, md5(CAST(vec_id AS VARCHAR)) < '4d' AS held_out FROM embeddings),
+pairs AS (SELECT a.vec_id AS id, a.held_out, b.vec_id AS neighbor, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND NOT b.held_out),
+nn AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) <= 20),
+kd AS (SELECT id, max(distance) AS kd FROM nn WHERE NOT held_out GROUP BY id),
+lrd AS (SELECT nn.id, any_value(held_out) AS held_out, count(*) / (sum(greatest(distance, kd.kd)) + 1e-10::DOUBLE * count(*)) AS lrd FROM nn JOIN kd ON kd.id = neighbor GROUP BY nn.id),
+f AS (SELECT nn.id, any_value(s.held_out) AS held_out, avg(o.lrd) / any_value(s.lrd) AS lof FROM nn JOIN lrd o ON o.id = neighbor JOIN lrd s ON s.id = nn.id GROUP BY nn.id)
+SELECT id AS vec_id, round(lof, 5) AS score, lof > (SELECT quantile_cont(lof, 0.9) FROM f WHERE NOT held_out) AS novel FROM f WHERE held_out""")
+def _(t):
+    # Three tenths of the rows, by the id's hash, are scored by a model of the others.
+    rows = t.embeddings.withColumn("held_out", F.md5(F.col("vec_id").cast("string")) < "4d")
+    path = scratch(t.spark, "lof")
+    novelty.fit_lof(rows.where("not held_out"), "vec_id", "embedding", 20, path)
+    return rounded(novelty.score_lof(rows.where("held_out").select("vec_id", "embedding"), "embedding", path).select("vec_id", "score", "novel"), ["score"], 5)
+
+
+@query("novelty_models")
+def _(t):
+    # One-class and mixture models of seven tenths of the rows score the other ones; all elements.
+    rows = t.embeddings.withColumn("held_out", F.md5(F.col("vec_id").cast("string")) < "4d")
+    seen, new = rows.where("not held_out"), rows.where("held_out").select("vec_id", "embedding")
+    paths = {kind: scratch(t.spark, kind) for kind in ("one_class", "mixture")}
+    novelty.fit_one_class(seen, "vec_id", "embedding", paths["one_class"])
+    novelty.fit_mixture(seen, "vec_id", "embedding", paths["mixture"])
+    parts = [novelty.score_usual(new, "embedding", path).select("vec_id", F.lit(kind).alias("model"), "score", "novel") for kind, path in paths.items()]
+    return rounded(parts[0].unionByName(parts[1]), ["score"])
+
+
 @query("dbscan", """
 WITH p AS (SELECT event_id AS id, value / 20 AS x, CAST(props->>'$.k' AS DOUBLE) / 10 AS y FROM events),
 c AS (SELECT a.id, any_value(a.x) AS x, any_value(a.y) AS y, count(*) AS n FROM p a JOIN p b ON b.x BETWEEN a.x - 0.51 AND a.x + 0.51
