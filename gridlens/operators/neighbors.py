@@ -38,6 +38,21 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _closest(q: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the row, exact distance): at least the ``count`` nearest rows and all that tie with the last.
+
+    One matrix product tells most rows apart; those not beyond the last place by more than rounding are added up by coordinate.
+    """
+    sizes = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None]
+    square = sizes - 2 * (q @ x.T)
+    last = np.partition(square, min(count, len(x)) - 1, axis=1)[:, min(count, len(x)) - 1, None]
+    i, j = np.nonzero(~(square > last + 1e-10 * sizes.max(axis=1, keepdims=True)))  # also where numbers are too large for squares
+    total = np.zeros(len(i))
+    for c in range(x.shape[1]):
+        total += (q[i, c] - x[j, c]) ** 2
+    return i, j, np.sqrt(total)
+
+
 def _place(distinct: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Cell (nearest pivot) of each vector and the distance to its pivot."""
     def assign(batches):
@@ -121,12 +136,9 @@ def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivot
         if len(queries) and len(candidates):
             x, qx = np.stack(candidates["x"].to_numpy()), np.stack(queries["qx"].to_numpy())
             reps, ids = queries["qrep"].to_numpy(), candidates["ids"].to_numpy()
-            last = min(k, len(x) - 1)
             for start in range(0, len(qx), 512):
-                d = _distances(qx[start:start + 512], x)
-                # The k + 1 nearest vectors and all that tie with the last of them.
-                q, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last, None])
-                parts.append(pd.DataFrame({"qrep": reps[start + q], "distance": d[q, c], "ids": ids[c]}))
+                q, c, d = _closest(qx[start:start + 512], x, k + 1)
+                parts.append(pd.DataFrame({"qrep": reps[start + q], "distance": d, "ids": ids[c]}))
         return pd.concat(parts) if parts else pd.DataFrame({"qrep": [], "distance": [], "ids": []})
 
     found = asked.groupBy("cell", "part", "lane").cogroup(targets.groupBy("tcell", "tpart", "tlane")).applyInPandas(

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens.operators import anomaly, neighbors, ordered
-from gridlens.operators.neighbors import _SLACK, CHUNK, _distances
+from gridlens.operators.neighbors import _SLACK, CHUNK, _closest, _distances
 from gridlens.operators.quantiles import column_quantiles
 from gridlens.operators.vector_index import whole_vectors
 from gridlens.session import cut_lineage
@@ -113,7 +113,7 @@ def _nearest(spark: SparkSession, asked: DataFrame, path: str, numbers: dict, k:
     own = asked.mapInPandas(first, "key string, cell int, away double").join(rings, "cell")
     gap = F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi"), F.lit(0.0))
     own = own.groupBy("key").agg(F.min(F.struct((F.col("n") < k).alias("few"), gap.alias("gap"), "cell", "part")).alias("at")).select("key", "at.cell", "at.part")
-    tried = cut_lineage(_meet(own, asked, members, k, load))
+    tried = cut_lineage(_first(_meet(own, asked, members, k, load), k))
     bound = tried.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
 
     def visits(batches):
@@ -139,7 +139,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 
 def _meet(visits: DataFrame, asked: DataFrame, members: DataFrame, k: int, load: int) -> DataFrame:
-    """The k nearest of each visited ring, ring by ring; visitors of a busy ring are dealt out to lanes."""
+    """At least the k nearest of each visited ring, ring by ring; visitors of a busy ring are dealt out to lanes."""
     visits = cut_lineage(visits)
     lanes = cut_lineage(visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / load).cast("int").alias("lanes")))
     dealt = visits.join(lanes, ["cell", "part"]).join(asked, "key").select(
@@ -151,14 +151,12 @@ def _meet(visits: DataFrame, asked: DataFrame, members: DataFrame, k: int, load:
     def block(visitors: pd.DataFrame, ring: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(visitors) and len(ring):
-            ring = ring.sort_values("rep", ignore_index=True)
             x, keys = np.stack(ring["x"].to_numpy()), visitors["key"].to_numpy()
             for start in range(0, len(visitors), 256):
-                d = _distances(np.stack(visitors["q"].iloc[start:start + 256].to_numpy()), x)
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]  # equal distances by id
-                flat = ring.iloc[at.ravel()]
-                parts.append(pd.DataFrame({"key": np.repeat(keys[start:start + 256], at.shape[1]), "distance": np.take_along_axis(d, at, 1).ravel(),
-                                           "rep": flat["rep"].to_numpy(), "k_distance": flat["k_distance"].to_numpy(), "lrd": flat["lrd"].to_numpy()}))
+                q, c, d = _closest(np.stack(visitors["q"].iloc[start:start + 256].to_numpy()), x, k)
+                flat = ring.iloc[c]
+                parts.append(pd.DataFrame({"key": keys[start + q], "distance": d, "rep": flat["rep"].to_numpy(),
+                                           "k_distance": flat["k_distance"].to_numpy(), "lrd": flat["lrd"].to_numpy()}))
         return pd.concat(parts) if parts else pd.DataFrame({"key": [], "distance": [], "rep": [], "k_distance": [], "lrd": []})
 
     return dealt.groupBy("cell", "part", "lane").cogroup(inside.groupBy("in_cell", "in_part", "in_lane")).applyInPandas(
