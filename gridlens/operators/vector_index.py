@@ -5,7 +5,7 @@ centre and is kept there as one byte per group of elements: the codeword nearest
 ``probes`` lists with the nearest centres, its best ``depth`` candidates by code distance are joined with their whole vectors, and
 the answer has exact distances.
 
-Centres and codewords are fitted on a bounded sample (``SAMPLE`` rows by hash); all rows are indexed. ``probes`` and ``depth`` are
+Centres and codewords are fitted on a bounded sample (``SAMPLE`` rows by hash, ``SAMPLE_VALUES`` numbers at most); all rows are indexed. ``probes`` and ``depth`` are
 read off a second bounded sample (``TUNING`` rows): its true neighbours are found by comparing it with all rows, and the least
 values under which the wanted share of them is found are stored. ``recall`` measures the share anew on other rows.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.hashing import hash31
 from gridlens.session import cut_lineage, lookup
 
-SAMPLE = 65_536
+SAMPLE, SAMPLE_VALUES = 65_536, 1 << 22
 TUNING = 256
 BLOCK = 8_192
 MOST_LISTS = 4_096
@@ -123,7 +123,8 @@ def build(df: DataFrame, row_id: str, features: str, path: str, lists: int | Non
     total = vectors.count()
     if total == 0:
         return _save(spark, VectorIndex(path, None, 0, 0))
-    sample = _sample(vectors, SAMPLE, seed)
+    width = vectors.select(F.size("x")).first()[0]
+    sample = _sample(vectors, min(SAMPLE, max(1, SAMPLE_VALUES // width)), seed)
     sample = np.stack(sample["x"].to_numpy())
     lists = min(lists or max(1, round(math.sqrt(total))), MOST_LISTS, len(sample))
     codec = Codec.fit(sample, lists, groups or max(1, sample.shape[1] // 4), seed)
