@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlens.functions.frames import decode_frames, valid_frames
+from gridlens.operators import models
 from gridlens.operators.rules import is_command, is_unknown_cause
 from gridlens.plans.common import PACKETS_SQL, event_alerts, packets, rounded
 from gridlens.plans.registry import query
 from gridlens.session import cut_lineage, scratch
 from gridlens.sources import pcap
-from gridlens.streaming import keyed, streams
+from gridlens.streaming import keyed, serving, streams
 
 
 def _hex(c, digits):
@@ -222,6 +223,29 @@ def _(t):
     return t.spark.read.schema("event_id bigint, confidence double, band string").parquet(f"{path}/out")
 
 
+def _measured(events):
+    """Requests of two numbers (one only for type error) and the band of the second one as their class."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    x = F.when(F.col("event_type") == "error", F.array(k)).otherwise(F.array(F.col("value").cast("double"), k))
+    return events.select("event_id", x.alias("x"), F.floor(k / 34).cast("int").alias("band"))
+
+
+@query("stream_model_scores", """
+SELECT event_id, 1 AS version, CASE WHEN event_type = 'error' THEN 'width' END AS reject,
+  CASE WHEN event_type <> 'error' THEN (['low', 'middle', 'high'])[CAST(floor(CAST(props->>'$.k' AS INTEGER) / 34) AS INTEGER) + 1] END AS predicted,
+  CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE END AS confidence FROM events""")
+def _(t):
+    # The bands follow from the second number, so a tree with a bin per value finds them exactly.
+    path = scratch(t.spark, "serving")
+    known = _measured(t.events).where("size(x) = 2").select(F.col("x")[0].alias("value"), F.col("x")[1].alias("k"), "band")
+    store = serving.ModelStore(t.spark, f"{path}/models")
+    store.publish(models.fit_pipeline("tree", known, ["value", "k"], "band", 3, maxBins=128), ["value", "k"], ["low", "middle", "high"])
+    stream = _measured(_stream(t, delay=None)).drop("band")
+    table, each = serving.scoring_sink(store, path, "x", stream.schema)
+    streams.run_available(stream, f"{path}/checkpoint", each=each)
+    return table.read(t.spark).select("event_id", "version", "reject", "predicted", "confidence")
+
+
 @query("stream_auto_block", """
 WITH a AS (SELECT event_id, user_id, ts, CAST(props->>'$.k' AS INTEGER) / 100.0::DOUBLE AS confidence FROM events),
 b AS (SELECT user_id, min(ts) AS block_ts FROM a WHERE confidence > 0.9 GROUP BY user_id)
