@@ -3,8 +3,8 @@
 k nearest (after Lu et al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce",
 2012): vectors go to the cell of their nearest pivot; by the triangle inequality a query
 needs only cells that can hold something closer than a bound it already has. Cells are
-cut into chunks of bounded size, and a task compares one chunk of queries with one chunk of
-candidates, so neither a hot cell nor the pairs of a group ever sit in one place. Equal vectors
+cut into blocks of bounded size that meet in tasks of bounded size (meeting.py), so neither a hot cell
+nor the pairs of a group ever sit in one place. Equal vectors
 are collapsed first: a third of all rows being copies costs one vector.
 """
 
@@ -13,138 +13,37 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.hashing import hash31
-from gridlens.operators import ordered
+from gridlens.operators import meeting, ordered
+from gridlens.operators.meeting import _SLACK, CHUNK, _distances, _pivots  # noqa: F401  # also used from here
 from gridlens.session import cut_lineage
 
-CHUNK = 2000
-_SLACK = 1e-9  # relative room for rounding in distance bounds
-
-
-def _pivots(distinct: DataFrame, count: int, seed: int) -> np.ndarray:
-    rows = distinct.orderBy(hash31("rep", seed), "rep").limit(count).select("x").collect()
-    return np.array([r[0] for r in rows], dtype=float)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all pairs, summed by coordinate so that equal inputs give equal results in any block."""
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
-
-
-def _closest(q: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, place of the row, exact distance): at least the ``count`` nearest rows and all that tie with the last.
-
-    One matrix product tells most rows apart; those not beyond the last place by more than rounding are added up by coordinate.
-    """
-    sizes = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None]
-    square = sizes - 2 * (q @ x.T)
-    last = np.partition(square, min(count, len(x)) - 1, axis=1)[:, min(count, len(x)) - 1, None]
-    i, j = np.nonzero(~(square > last + 1e-10 * sizes.max(axis=1, keepdims=True)))  # also where numbers are too large for squares
-    total = np.zeros(len(i))
-    for c in range(x.shape[1]):
-        total += (q[i, c] - x[j, c]) ** 2
-    return i, j, np.sqrt(total)
-
-
-def _place(distinct: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Cell (nearest pivot) of each vector and the distance to its pivot."""
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                d = _distances(np.stack(b["x"].to_numpy()), pivots)
-                near = d.argmin(axis=1)
-                yield pd.DataFrame({"rep": b["rep"], "x": b["x"], "n": b["n"], "ids": b["ids"],
-                                    "cell": near.astype("int32"), "to_pivot": d[np.arange(len(b)), near]})
-
-    fields = "rep bigint, x array<double>, n bigint, ids array<bigint>, cell int, to_pivot double"
-    return distinct.select("rep", "x", "n", "ids").mapInPandas(assign, fields)
-
 
 def knn(df: DataFrame, row_id: str, features: str, k: int, seed: int = 42, pivots: int | None = None,
         chunk: int = CHUNK) -> DataFrame:
     """(id, neighbor, distance, rank): the k nearest other rows of each row by (distance, id), exact.
 
-    The bound of a query is its distance to the farthest member it needs of its own chunk.
+    Of the distinct vectors the k + 1 nearest by (distance, smallest id) hold every answer: an id of any other comes after those k + 1.
     """
     source = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("x"))
     keyed = source.withColumn("key", F.sha2(F.to_json(F.struct("x")), 256))
     # The k + 1 smallest ids of each distinct vector are enough for every copy's answer.
     ranked = ordered.scan(keyed.select("key", "id"), ["key"], ["id"], [ordered.row_number("rn")])
     few = ranked.where(F.col("rn") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    distinct = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), F.first("x").alias("x")).join(few, "key")
-    distinct = cut_lineage(distinct.select("key", "rep", "x", "n", "ids"))
+    distinct = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.first("x").alias("x")).join(few, "key")
+    distinct = cut_lineage(distinct.where("rep is not null").select("key", "rep", "x", "ids"))
     total = distinct.count()
     if total == 0:
         return source.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance"), F.lit(1).cast("bigint").alias("rank"))
     centres = _pivots(distinct, pivots or max(1, min(2048, total // (chunk // 4))), seed)
-    placed = _place(distinct, centres)
-    # Position inside the cell by distance to the pivot gives chunks that are rings around it.
-    numbered = ordered.scan(placed, ["cell"], ["to_pivot", "rep"], [ordered.row_number("rn")])
-    chunked = cut_lineage(numbered.withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int")).drop("rn"))
-
-    # First answer inside the own chunk, then the bound it gives.
-    def own(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["x"].to_numpy())
-        n, d = group["n"].to_numpy(), _distances(x, x)
-        order = np.argsort(d, axis=1, kind="stable")
-        reach = np.cumsum(n[order], axis=1) >= k + 1  # the row itself is one of them
-        at = np.where(reach.any(axis=1), reach.argmax(axis=1), -1)
-        bound = np.where(at >= 0, d[np.arange(len(x)), order[np.arange(len(x)), at]], np.inf)
-        return pd.DataFrame({"rep": group["rep"], "bound": bound})
-
-    bounds = chunked.groupBy("cell", "part").applyInPandas(own, "rep bigint, bound double")
-    rings = chunked.groupBy("cell", "part").agg(F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi"))
-    rings = cut_lineage(rings)  # one row per chunk
-    reach = sorted(tuple(r) for r in rings.groupBy("cell").agg(F.min("lo"), F.max("hi")).collect())
-    shells = df.sparkSession.sparkContext.broadcast((centres, np.array(reach, dtype=float).reshape(-1, 3)))  # at most 2048 cells
-
-    # A query visits a cell, then a ring of it, unless that lies beyond the bound.
-    def visits(batches):
-        points, shell = shells.value
-        for b in batches:
-            if not len(b):
-                continue
-            d = _distances(np.stack(b["x"].to_numpy()), points)[:, shell[:, 0].astype(int)]
-            gap = np.maximum(np.maximum(shell[None, :, 1] - d, d - shell[None, :, 2]), 0.0)
-            room = b["bound"].to_numpy() * (1 + _SLACK) + _SLACK
-            q, c = np.nonzero(gap <= room[:, None])
-            yield pd.DataFrame({"qrep": b["rep"].to_numpy()[q], "qx": b["x"].to_numpy()[q], "cell": shell[c, 0].astype("int32"),
-                                "away": d[q, c], "room": room[q]})
-
-    asked = chunked.join(bounds, "rep").select("rep", "x", "bound").mapInPandas(
-        visits, "qrep bigint, qx array<double>, cell int, away double, room double")
-    asked = asked.join(rings, "cell").where(F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi")) <= F.col("room")).select(
-        "qrep", "qx", "cell", "part", F.pmod("qrep", F.lit(1000003)).alias("lane"))
-    # Queries of a busy chunk are spread over lanes so that no task meets them all.
-    load = asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4.0 * chunk)).cast("int").alias("lanes"))
-    load = cut_lineage(load)  # one row per chunk
-    asked = asked.join(load, ["cell", "part"]).select(
-        "qrep", "qx", "cell", "part", F.pmod("lane", F.col("lanes")).cast("int").alias("lane"))
-    targets = chunked.join(load, ["cell", "part"]).select(
-        "rep", "x", "n", "ids", F.col("cell").alias("tcell"), F.col("part").alias("tpart"),
-        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("tlane"))
-
-    def block(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(queries) and len(candidates):
-            x, qx = np.stack(candidates["x"].to_numpy()), np.stack(queries["qx"].to_numpy())
-            reps, ids = queries["qrep"].to_numpy(), candidates["ids"].to_numpy()
-            for start in range(0, len(qx), 512):
-                q, c, d = _closest(qx[start:start + 512], x, k + 1)
-                parts.append(pd.DataFrame({"qrep": reps[start + q], "distance": d, "ids": ids[c]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"qrep": [], "distance": [], "ids": []})
-
-    found = asked.groupBy("cell", "part", "lane").cogroup(targets.groupBy("tcell", "tpart", "tlane")).applyInPandas(
-        block, "qrep bigint, distance double, ids array<bigint>")
+    chunked = meeting.chunks(meeting.homes(distinct.select("rep", "x"), centres, "rep bigint, x array<double>"), chunk)
+    layout = meeting.Layout.of(meeting.rings(chunked), centres)
+    blocks = meeting.pack(chunked, layout, [])
+    found = meeting.nearest(blocks, layout, blocks, layout, k + 1)
     # Merge per distinct vector; at most k + 1 ids are needed, and row limits are pushed below the shuffle.
-    pairs = found.select("qrep", "distance", F.explode("ids").alias("neighbor"))
+    pairs = found.join(distinct.select("rep", "ids"), "rep").select("qrep", "distance", F.explode("ids").alias("neighbor"))
     best = _top(pairs, "qrep", k + 1)
     # Copies share the merged list; each drops itself from it.
     members = keyed.join(distinct.select("key", "rep"), "key").select("id", F.col("rep").alias("qrep"))
