@@ -2,7 +2,7 @@
 
 Local outlier factor: the model keeps, for every trained row, its distance to the k-th neighbour and its local reachability
 density, in cells around pivots that are cut into rings of bounded size. A new row finds its exact k nearest trained rows
-by pivots and rings (the bound it has from the block nearest to it rules out most others where the data allow it) and takes the
+by pivots and rings (its bound, and the nearest found so far, rule out most others where the data allow it) and takes the
 densities along with them. Of equal trained vectors only the k smallest ids can be among the nearest, so no more are kept; equal
 new vectors are one question. Trained rows are never compared with all pairs of new ones in one task.
 
@@ -24,8 +24,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlens.operators import anomaly, neighbors, ordered
-from gridlens.operators.neighbors import _SLACK, CHUNK, _closest, _distances
+from gridlens.operators import anomaly, meeting, neighbors, ordered
+from gridlens.operators.neighbors import CHUNK
 from gridlens.operators.quantiles import column_quantiles
 from gridlens.operators.vector_index import whole_vectors
 from gridlens.session import cut_lineage
@@ -59,19 +59,9 @@ def fit_lof(df: DataFrame, row_id: str, features: str, k: int, path: str, share:
         return _write_numbers(spark, path, {"k": k, "width": 0, "centres": [], "cells": [], "limit": None})
     centres = neighbors._pivots(kept, pivots or max(1, min(2048, total // max(1, chunk // 4))), seed)
 
-    def home(batches):
-        for b in batches:
-            if len(b):
-                d = _distances(np.stack(b["x"].to_numpy()), centres)
-                near = d.argmin(axis=1)
-                yield b.assign(cell=near.astype("int32"), to_pivot=d[np.arange(len(b)), near])
-
-    placed = kept.mapInPandas(home, "rep bigint, x array<double>, k_distance double, lrd double, cell int, to_pivot double")
-    ringed = ordered.scan(placed, ["cell"], ["to_pivot", "rep"], [ordered.row_number("rn")])
-    ringed.withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int")).drop("rn").write.mode("overwrite").parquet(f"{path}/members")
-    rings = spark.read.parquet(f"{path}/members").groupBy("cell", "part").agg(
-        F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rings.write.mode("overwrite").parquet(f"{path}/rings")
+    placed = meeting.homes(kept, centres, "rep bigint, x array<double>, k_distance double, lrd double")
+    meeting.chunks(placed, chunk).write.mode("overwrite").parquet(f"{path}/members")
+    meeting.rings(spark.read.parquet(f"{path}/members")).write.mode("overwrite").parquet(f"{path}/rings")
     cells = spark.read.parquet(f"{path}/rings").groupBy("cell").agg(F.min("lo"), F.max("hi")).collect()  # at most 2048
     trained = neighbors.local_outlier_factor(near, k)
     limit = column_quantiles(trained, ["lof"], [1 - share])["lof"][0]
@@ -87,8 +77,8 @@ def score_lof(df: DataFrame, features: str, path: str, load: int = 4 * CHUNK) ->
     k, limit = numbers["k"], numbers["limit"]
     key = F.sha2(F.to_json(F.struct(F.col(features).cast("array<double>").alias("x"))), 256)
     asked = whole_vectors(df.select(F.lit(0).alias("none"), features), "none", features, numbers["width"])
-    asked = cut_lineage(asked.groupBy(F.sha2(F.to_json(F.struct("x")), 256).alias("key")).agg(F.first("x").alias("q")))
-    found = _nearest(spark, asked, path, numbers, k, load)
+    asked = asked.groupBy(F.sha2(F.to_json(F.struct("x")), 256).alias("key")).agg(F.first("x").alias("x"))
+    found = _nearest(spark, cut_lineage(asked.withColumn("rep", F.monotonically_increasing_id())), path, numbers, k, load)
     lrd = F.count(F.lit(1)) / (F.sum(F.greatest("distance", "k_distance")) + 1e-10 * F.count(F.lit(1)))
     scores = found.groupBy("key").agg((F.avg("lrd") / lrd).alias("score"))
     scored = rest.withColumn("__key", key).join(scores.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
@@ -96,41 +86,16 @@ def score_lof(df: DataFrame, features: str, path: str, load: int = 4 * CHUNK) ->
 
 
 def _nearest(spark: SparkSession, asked: DataFrame, path: str, numbers: dict, k: int, load: int) -> DataFrame:
-    """(key, distance, rep, k_distance, lrd) of the exact k nearest members of each question (key, q), by distance and id."""
-    members = spark.read.parquet(f"{path}/members")
-    rings = cut_lineage(spark.read.parquet(f"{path}/rings"))
-    shells = spark.sparkContext.broadcast((np.array(numbers["centres"]), np.array(numbers["cells"], dtype=float)))  # at most 2048 cells
-
-    def first(batches):
-        points, _ = shells.value
-        for b in batches:
-            if len(b):
-                d = _distances(np.stack(b["q"].to_numpy()), points)
-                cell = d.argmin(axis=1)
-                yield pd.DataFrame({"key": b["key"], "cell": cell.astype("int32"), "away": d[np.arange(len(b)), cell]})
-
-    # The ring of the nearest cell that lies about the question's own distance holds k rows, or as many as it has: a first bound.
-    own = asked.mapInPandas(first, "key string, cell int, away double").join(rings, "cell")
-    gap = F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi"), F.lit(0.0))
-    own = own.groupBy("key").agg(F.min(F.struct((F.col("n") < k).alias("few"), gap.alias("gap"), "cell", "part")).alias("at")).select("key", "at.cell", "at.part")
-    tried = cut_lineage(_first(_meet(own, asked, members, k, load), k))
-    bound = tried.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-
-    def visits(batches):
-        points, shell = shells.value
-        for b in batches:
-            if not len(b):
-                continue
-            d = _distances(np.stack(b["q"].to_numpy()), points)[:, shell[:, 0].astype(int)]
-            gap = np.maximum(np.maximum(shell[None, :, 1] - d, d - shell[None, :, 2]), 0.0)
-            room = b["bound"].fillna(np.inf).to_numpy(dtype=float) * (1 + _SLACK) + _SLACK
-            q, c = np.nonzero(gap <= room[:, None])
-            yield pd.DataFrame({"key": b["key"].to_numpy()[q], "cell": shell[c, 0].astype("int32"), "away": d[q, c], "room": room[q]})
-
-    wide = asked.join(bound, "key", "left").select("key", "q", "bound").mapInPandas(visits, "key string, cell int, away double, room double")
-    others = wide.join(rings, "cell").where(gap <= F.col("room")).select("key", "cell", "part").join(own, ["key", "cell", "part"], "left_anti")
-    both = _meet(others, asked, members, k, load).unionByName(tried)
-    return _first(both, k)
+    """(key, distance, rep, k_distance, lrd) of the exact k nearest members of each question (key, rep, x), by distance and id; a block holds ``load`` questions."""
+    members, centres = spark.read.parquet(f"{path}/members"), np.array(numbers["centres"], dtype=float)
+    layout = meeting.Layout.of(spark.read.parquet(f"{path}/rings"), centres)
+    chunked = meeting.chunks(meeting.homes(asked.select("rep", "x"), centres, "rep bigint, x array<double>"), load)
+    if not chunked.take(1):
+        return spark.createDataFrame([], "key string, distance double, rep bigint, k_distance double, lrd double")
+    asking = meeting.Layout.of(meeting.rings(chunked), centres)
+    found = meeting.nearest(meeting.pack(chunked, asking, []), asking, meeting.pack(members, layout, ["k_distance", "lrd"]), layout, k, more=2)
+    named = asked.select("key", F.col("rep").alias("qrep")).join(found, "qrep")
+    return _first(named.select("key", "distance", "rep", F.col("more0").alias("k_distance"), F.col("more1").alias("lrd")), k)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -138,31 +103,6 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def _meet(visits: DataFrame, asked: DataFrame, members: DataFrame, k: int, load: int) -> DataFrame:
-    """At least the k nearest of each visited ring, ring by ring; visitors of a busy ring are dealt out to lanes."""
-    visits = cut_lineage(visits)
-    lanes = cut_lineage(visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / load).cast("int").alias("lanes")))
-    dealt = visits.join(lanes, ["cell", "part"]).join(asked, "key").select(
-        "key", "q", "cell", "part", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"))
-    inside = members.join(lanes, ["cell", "part"]).select(
-        "rep", "x", "k_distance", "lrd", F.col("cell").alias("in_cell"), F.col("part").alias("in_part"),
-        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("in_lane"))
-
-    def block(visitors: pd.DataFrame, ring: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(visitors) and len(ring):
-            x, keys = np.stack(ring["x"].to_numpy()), visitors["key"].to_numpy()
-            for start in range(0, len(visitors), 256):
-                q, c, d = _closest(np.stack(visitors["q"].iloc[start:start + 256].to_numpy()), x, k)
-                flat = ring.iloc[c]
-                parts.append(pd.DataFrame({"key": keys[start + q], "distance": d, "rep": flat["rep"].to_numpy(),
-                                           "k_distance": flat["k_distance"].to_numpy(), "lrd": flat["lrd"].to_numpy()}))
-        return pd.concat(parts) if parts else pd.DataFrame({"key": [], "distance": [], "rep": [], "k_distance": [], "lrd": []})
-
-    return dealt.groupBy("cell", "part", "lane").cogroup(inside.groupBy("in_cell", "in_part", "in_lane")).applyInPandas(
-        block, "key string, distance double, rep bigint, k_distance double, lrd double")
-
-
 # ---- one-class kernel rule and Gaussian mixture ------------------------------------------------------
 
 def fit_one_class(df: DataFrame, row_id: str, features: str, path: str, share: float = 0.1, gamma: float | None = None, seed: int = 42) -> None:
