@@ -3,15 +3,17 @@
 The state lives in the state store of the engine: it is committed with each micro-batch, so a batch that is run again finds the state from before it, and lost
 executors lose nothing. Timers run on event time and drop what is over, so the state follows the sources that are active and not the age of the stream.
 
-A busy source doesn't make a busy task where its rows can be reduced first: sessions are joined inside each Arrow batch before the shuffle, and the ring of
-latest rows is kept in shards. Blocks need a source's rows in order; a task holds the rows of one source and micro-batch, and none of a blocked source.
+A busy source doesn't make a busy task where its rows can be reduced first: sessions are joined inside each Arrow batch before the shuffle, and no more than the
+latest rows of each batch are sent to a ring. Blocks need a source's rows in order; a task holds the rows of one source and micro-batch, and none of a blocked source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,13 +141,23 @@ class Ring(StatefulProcessor):
 
 
 def ring(stream: DataFrame, order: list[str], n: int = 100, by: list[str] | None = None, shards: int = 16) -> DataFrame:
-    """Rows as they enter the ``n`` latest ones of their key and shard (by the last column of ``order``, which must be unique).
+    """Rows as they enter the ``n`` latest ones of their key, or without one of their shard (by the last column of ``order``, which must be unique).
 
-    The ring of a key is in the ``n`` latest rows of what comes out, so ``latest`` reads it.
+    The ring of a key is in the ``n`` latest rows of what comes out, so ``latest`` reads it. No Arrow batch sends more than ``n`` rows of a
+    key or shard, so a busy source is reduced before the shuffle, and a key has one ring.
     """
     with_keyed_state(stream.sparkSession)
-    dealt = stream.withColumn("__shard", F.pmod(F.xxhash64(order[-1]), F.lit(shards)))
-    return dealt.groupBy("__shard", *(by or [])).transformWithStateInPandas(Ring(order, n, stream.schema), stream.schema, "append", "none")
+    keys = list(by) if by else ["__shard"]
+    dealt = stream if by else stream.withColumn("__shard", F.pmod(F.xxhash64(order[-1]), F.lit(shards)))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select([*keys, *(o for o in order if o not in keys)]).to_pandas()
+            places = rows.sort_values(order, ascending=False, kind="stable").groupby(keys, sort=False, dropna=False).head(n).index
+            yield batch.take(pa.array(places, pa.int64()))
+
+    few = dealt.mapInArrow(reduced, dealt.schema)
+    return few.groupBy(*keys).transformWithStateInPandas(Ring(order, n, stream.schema), stream.schema, "append", "none")
 
 
 def latest(rows: DataFrame, order: list[str], n: int = 100, by: list[str] | None = None) -> DataFrame:
@@ -172,18 +184,22 @@ def joined(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a source. State: a list of the open ones; a timer at the end of each gives it out and drops it."""
+    """Sessions of a source. State: the open ones as one value; a timer at the first end gives out and drops all that are over by then."""
 
     def __init__(self, source: str, gap: int):
         self.source, self.gap = source, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [T.StructField(c, T.LongType()) for c in ("first", "last", "n")]
-        self.open = handle.getListState("open", T.StructType(fields))
+        fields = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("first", "last", "n")]
+        self.open = handle.getValueState("open", T.StructType(fields))  # one row: rows of state are passed one by one
 
     def _spans(self) -> list[tuple[int, int, int]]:
-        return [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        held = self.open.get()
+        return list(zip(*held)) if held else []
+
+    def _put(self, spans: list[tuple[int, int, int]]) -> None:
+        self.open.update(tuple(map(list, zip(*spans))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before, mark = self._spans(), timerValues.getCurrentWatermarkInMs() * 1000
@@ -191,25 +207,30 @@ class Sessions(StatefulProcessor):
         for part in rows:
             part = part[part["last"] >= mark]
             spans = joined([*spans, *zip(part["first"].tolist(), part["last"].tolist(), part["n"].tolist())], self.gap)
-        if spans:
-            self.open.put(spans)
-        self._timers({s[1] for s in before}, {s[1] for s in spans})
+        if spans != before:
+            self._put(spans)
+            self._timer(before, spans)
         yield pd.DataFrame()
 
-    def _timers(self, before: set[int], now: set[int]) -> None:
-        at = lambda last: (last + self.gap) // 1000 + 1  # noqa: E731  # in milliseconds, not before the end
-        old, new = {at(x) for x in before}, {at(x) for x in now}
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
+    def _end(self, span: tuple[int, int, int]) -> int:
+        return (span[1] + self.gap) // 1000 + 1  # in milliseconds, not before the end
+
+    def _timer(self, before: list[tuple[int, int, int]], now: list[tuple[int, int, int]]) -> None:
+        """One timer a source, whatever the number of its sessions; the first one ends first, as they are in order."""
+        old, new = (self._end(spans[0]) if spans else None for spans in (before, now))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spans, now = self._spans(), expiredTimerInfo.getExpiryTimeInMs()
-        over = [s for s in spans if (s[1] + self.gap) // 1000 < now]
-        left = [s for s in spans if (s[1] + self.gap) // 1000 >= now]
+        spans, mark = self._spans(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        over = [s for s in spans if self._end(s) < mark]
+        left = spans[len(over):]  # in order
         if left:
-            self.open.put(left)
+            self._put(left)
+            self.handle.registerTimer(self._end(left[0]))
         else:
             self.open.clear()
         yield pd.DataFrame([(*key, *s) for s in over], columns=[self.source, "first", "last", "n"])
@@ -242,5 +263,6 @@ def sessions(stream: DataFrame, source: str, ts: str = "ts", gap_s: float = 1800
 
 def open_sessions(spark: SparkSession, checkpoint: str, source: str) -> DataFrame:
     """The sessions that a stopped or running stream still holds, read from its state."""
-    state = spark.read.format("statestore").option("stateVarName", "open").option("flattenCollectionTypes", True).load(checkpoint)
-    return state.select(F.col(f"key.{source}").alias(source), "list_element.first", "list_element.last", "list_element.n")
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    spans = state.select(F.col(f"key.{source}").alias(source), F.explode(F.arrays_zip("value.first", "value.last", "value.n")).alias("s"))
+    return spans.select(source, "s.first", "s.last", "s.n")

@@ -139,3 +139,51 @@ def test_latest_rows_over_batches(spark, tmp_path, by):
     newest = sorted(rows, key=lambda r: (r[2], r[0]), reverse=True)
     want = newest[:7] if not by else [r for u in range(4) for r in [x for x in newest if x[1] == u][:7]]
     assert sorted(r.event_id for r in got.select(F.col("event_id")).collect()) == sorted(r[0] for r in want)
+
+
+def test_a_source_has_one_timer_whatever_its_sessions(spark, tmp_path):
+    """Timers that are registered, counted by a handle that stands in for the engine's."""
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls, self.held = set(), 0, None
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+        get = lambda self: self.held
+        exists = lambda self: self.held is not None
+
+        def update(self, value):
+            self.held = value
+
+        put = update
+
+        def clear(self):
+            self.held = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            self.calls += 1
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    import pandas as pd
+
+    handle, sessions = Handle(), keyed.Sessions("user_id", 1_000_000)
+    sessions.init(handle)
+    starts = [i * 10_000_000 for i in range(50)]
+    list(sessions.handleInputRows((7,), iter([pd.DataFrame({"first": starts, "last": starts, "n": 1})]), Times()))
+    assert handle.timers == {1001} and handle.calls == 1
+
+
+def test_a_source_has_one_ring(spark, tmp_path):
+    rows, batches = events(4)
+    write_batches(spark, tmp_path, batches)
+    run_twice(spark, tmp_path, keyed.ring(stream_of(spark, tmp_path, None), ["ts", "event_id"], 2, ["user_id"]))
+    held = spark.read.format("statestore").option("stateVarName", "rows").option("flattenCollectionTypes", True).load(f"{tmp_path}/checkpoint")
+    assert held.count() == 2 * len({r[1] for r in rows})
