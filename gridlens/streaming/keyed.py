@@ -51,38 +51,46 @@ class Blocks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         block = tuple(self.block.get()) if self.block.exists() else None
         held = [self._open(part, block) for part in rows]
-        every = pd.concat(held) if len(held) > 1 else held[0]
-        every = every.sort_values(["__at", self.row_id], kind="stable")
-        out, before = [], block
-        while len(every):
-            if block is not None:  # what was sent before the block, and what comes after it
-                point = list(zip(every["__at"], every[self.row_id]))
-                early, over = pd.Series([p < block[:2] for p in point], every.index), every["__at"] >= block[2]
-                found = every[early & (every[self.confidence] > self.threshold)]
-                if len(found):
-                    block = (int(found["__at"].iloc[0]), int(found[self.row_id].iloc[0]), block[2])
-                    early = pd.Series([p <= block[:2] for p in point], every.index)
-                out.append(every[early].assign(blocks=every[early][self.confidence] > self.threshold))
-                every, block = every[over & ~early], block if not len(every[over & ~early]) else None
-                continue
-            found = (every[self.confidence] > self.threshold).to_numpy()
-            if not found.any():
-                out.append(every.assign(blocks=False))
+        every, before = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0], block
+        at, ids = _micros(every[self.ts]).to_numpy(), every[self.row_id].to_numpy()
+        order = np.lexsort((ids, at))
+        at, ids, hot = at[order], ids[order], (every[self.confidence] > self.threshold).to_numpy()[order]
+        alerts, kept, i = np.flatnonzero(hot), [], 0
+        if block is not None:  # what was sent before the block, and what comes after it
+            i = self._before(at, ids, block, "left")
+            if hot[:i].any():
+                block = (int(at[alerts[0]]), int(ids[alerts[0]]), block[2])
+                i = self._before(at, ids, block, "right")
+            kept.append(np.arange(i))
+            i = max(i, int(np.searchsorted(at, block[2])))
+        while i < len(at):
+            place = int(np.searchsorted(alerts, i))
+            if place == len(alerts):
+                block = None
+                kept.append(np.arange(i, len(at)))
                 break
-            n = int(found.argmax()) + 1
-            out.append(every.iloc[:n].assign(blocks=found[:n]))
-            at = int(every["__at"].iloc[n - 1])
-            block = (at, int(every[self.row_id].iloc[n - 1]), at + int(self.block_s * 1e6) if self.block_s is not None else (1 << 63) - 1)
-            every = every.iloc[n:]
+            n = int(alerts[place])
+            kept.append(np.arange(i, n + 1))
+            block = (int(at[n]), int(ids[n]), int(at[n]) + int(self.block_s * 1e6) if self.block_s is not None else (1 << 63) - 1)
+            i = max(n + 1, int(np.searchsorted(at, block[2])))
         if block != before:
             self._keep(before, block)
-        if out:
-            yield pd.concat(out)[[*self.columns, "blocks"]]
+        if kept:
+            kept = np.concatenate(kept)
+            yield every[self.columns].iloc[order[kept]].assign(blocks=hot[kept])
+
+    @staticmethod
+    def _before(at: np.ndarray, ids: np.ndarray, block, side: str) -> int:
+        """Sorted rows that lie before (right: not after) the alert of a block."""
+        first, last = (int(np.searchsorted(at, block[0], s)) for s in ("left", "right"))
+        return first + int(np.searchsorted(ids[first:last], block[1], side))
 
     def _open(self, rows: pd.DataFrame, block) -> pd.DataFrame:
         """The rows that a block doesn't take away at once."""
-        rows = rows.assign(__at=_micros(rows[self.ts]))
-        return rows if block is None else rows[(rows["__at"] <= block[0]) | (rows["__at"] >= block[2])]
+        if block is None:
+            return rows
+        at = _micros(rows[self.ts])
+        return rows[(at <= block[0]) | (at >= block[2])]
 
     def _keep(self, before, block) -> None:
         if self.block_s is not None and before is not None:

@@ -187,3 +187,23 @@ def test_a_source_has_one_ring(spark, tmp_path):
     run_twice(spark, tmp_path, keyed.ring(stream_of(spark, tmp_path, None), ["ts", "event_id"], 2, ["user_id"]))
     held = spark.read.format("statestore").option("stateVarName", "rows").option("flattenCollectionTypes", True).load(f"{tmp_path}/checkpoint")
     assert held.count() == 2 * len({r[1] for r in rows})
+
+
+def test_blocks_of_many_rows_take_no_pass_each(spark):
+    """A source with a block every few rows, in one call, as row by row; no step per block that copies the rest of the rows."""
+    import time
+
+    import pandas as pd
+
+    class Handle:
+        getValueState = lambda self, *_: self
+        exists = lambda self: False
+        update = registerTimer = lambda self, _: None
+
+    rows = [(i, 1, START + timedelta(seconds=5 * i), 0.95 if i % 3 == 0 else 0.1) for i in range(20_000)]
+    blocks = keyed.Blocks("ts", "event_id", "confidence", 0.9, 10.0, ["event_id", "user_id"])
+    blocks.init(Handle())
+    begun = time.process_time()
+    got = pd.concat(blocks.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "confidence"])]), None))
+    assert time.process_time() - begun < 5
+    assert sorted(got.itertuples(index=False, name=None)) == plain_blocks(rows, 0.9, 10.0)
