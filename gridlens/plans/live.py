@@ -33,10 +33,15 @@ def _ethernet():
     ))
 
 
+def _writers(t):
+    """Tasks that write captures: as many as can run, so that files don't grow with the table alone."""
+    return max(4, 2 * t.spark.sparkContext.defaultParallelism)
+
+
 def _write_captures(t, folder):
     """Write the packets of each event type as capture files, one per task and type; those of type error get a broken start."""
     rows = packets(t.events).withColumn("data", _ethernet()).select("event_type", "ts_us", "packet_id", "length", "data")
-    spread = rows.repartitionByRange(4, "event_type", "ts_us", "packet_id").sortWithinPartitions("event_type", "ts_us", "packet_id")
+    spread = rows.repartitionByRange(_writers(t), "event_type", "ts_us", "packet_id").sortWithinPartitions("event_type", "ts_us", "packet_id")
 
     def write(batches):
         import struct
@@ -91,9 +96,10 @@ def _ethernet_ipv6():
 
 
 def _write_mixed(t, folder):
-    """Captures of IPv6 packets, of both formats by the event type, with a broken part in the middle and one record of 20 MB."""
+    """Captures of IPv6 packets, of both formats by the event type, with broken parts between and, in those of the first and the last task, one record of 20 MB."""
+    tasks = _writers(t)
     rows = packets(t.events).withColumn("data", _ethernet_ipv6()).select("event_type", "ts_us", "packet_id", "length", "data")
-    spread = rows.repartitionByRange(4, "event_type", "ts_us", "packet_id").sortWithinPartitions("event_type", "ts_us", "packet_id")
+    spread = rows.repartitionByRange(tasks, "event_type", "ts_us", "packet_id").sortWithinPartitions("event_type", "ts_us", "packet_id")
 
     def write(batches):
         import struct
@@ -112,7 +118,8 @@ def _write_mixed(t, folder):
         task, written = TaskContext.get().partitionId(), {}
         for b in batches:
             for kind, group in b.groupby("event_type", sort=False):
-                if kind not in written:
+                begins = kind not in written
+                if begins:
                     out = written[kind] = pcap.create(f"{folder}/{kind}-{task}.{'pcapng' if kind == 'click' else 'pcap'}")
                     out.write(starts.get(kind, struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 26, 1)))
                 out = written[kind]
@@ -120,7 +127,7 @@ def _write_mixed(t, folder):
                     out.write(record(kind, us, length, data))
                     if i == len(group) // 2:
                         out.write(b"\xee" * 5000)
-                        if task == 0:
+                        if begins and task in (0, tasks - 1):
                             out.write(record(kind, us, 20 << 20, b"\x02" * 12 + b"\x88\xb5" + bytes(20 << 20)))
         for out in written.values():
             out.close()
