@@ -1,10 +1,9 @@
 """Density clusters (DBSCAN) of vectors of any width, exact.
 
-Points within ``eps`` are found by a join through pivots: a point belongs to the cell of its nearest pivot, and its id also goes
-to every other cell that can hold something within ``eps`` of it, by the rings of cells around their pivots and by the plane
-between two pivots. Cells are cut into chunks of bounded size, ordered by the distance to the pivot, and the visitors of a busy
-chunk are dealt out to several tasks. A first pass only counts, so no pairs are written; a second one unites the core points
-of a block among themselves and writes one link per point. In many dimensions the bounds exclude little, and the work comes near
+Points within ``eps`` are found by a join through pivots (meeting.py): a point belongs to the cell of a near pivot, cells are cut into blocks
+of bounded size, ordered by the distance to the pivot, and a group of points meets the blocks that can hold something within ``eps`` of one of them, by the
+rings of blocks around their pivots. A first pass only counts, so no pairs are written; a second one unites the core points of a group through the
+core points it meets and writes one link per point and group. In many dimensions the bounds exclude little, and the work comes near
 that of all pairs, block by block.
 
 Ids are unique. Equal vectors are one counted point. Rows whose vector is null, holds a null or a NaN, or is shorter than the
@@ -16,17 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.operators import graph, ordered
-from gridlens.operators.neighbors import _SLACK, CHUNK, _distances, _pivots
+from gridlens.operators import graph, meeting
+from gridlens.operators.meeting import CHUNK, _pair_distances
 from gridlens.session import cut_lineage
 
-#: Queries whose distances are computed at a time.
-SLICE = 512
-
 
 def clusters(df: DataFrame, row_id: str, features: str, eps: float, min_points: int, seed: int = 42,
              pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -44,44 +40,20 @@ def clusters(df: DataFrame, row_id: str, features: str, eps: float, min_points:
     total = distinct.count()
     if total == 0:
         return source.select("id", F.lit(None).cast("bigint").alias("cluster"), F.lit("noise").alias("kind"))
-    chunked, asked = _eps_join(distinct, total, eps, seed, pivots, chunk)
-    points = distinct.select("rep", "x")
-
-    # Each point and each chunk it may have neighbours in: rows within reach, added up per point.
-    def count(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        near = [close.astype(np.int64) @ members["n"].to_numpy() for _, close in _blocks(queries, members, eps)]
-        return pd.DataFrame({"rep": queries["qrep"].to_numpy()[:sum(map(len, near))], "near": np.concatenate(near) if near else []})
-
-    meet = lambda queries, members, block, schema: queries.groupBy("cell", "part", "lane").cogroup(
-        members.groupBy("tcell", "tpart", "tlane")).applyInPandas(block, schema)
-    visitors = asked.join(points.select(F.col("rep").alias("qrep"), F.col("x").alias("qx")), "qrep")
-    counted = meet(visitors, chunked, count, "rep bigint, near bigint").groupBy("rep").agg(F.sum("near").alias("near"))
-    cores = cut_lineage(counted.select("rep", (F.col("near") >= min_points).alias("core")))
-
-    # Among core points only: one link per point and block, and for others the united parts they touch.
-    def unite(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        reps, asking = members["rep"].to_numpy(), queries["qrep"].to_numpy()
-        core, name, links = queries["core"].to_numpy(dtype=bool) if len(queries) else np.zeros(0, bool), np.arange(len(members)), []
-        blocks = list(_blocks(queries, members, eps))
-        changed = len(blocks) > 0
-        while changed:
-            before = name.copy()
-            for first, close in blocks:
-                close = close[core[first:first + len(close)]]
-                least = np.where(close, name, len(name)).min(axis=1, initial=len(name))
-                name = np.minimum(name, np.where(close, least[:, None], len(name)).min(axis=0, initial=len(name)))
-            name = np.minimum(name, name[name])
-            changed = not np.array_equal(before, name)
-        for first, close in blocks:
-            at, member = np.nonzero(close)
-            found = np.unique(np.stack([at + first, name[member]]), axis=1)
-            links.append(pd.DataFrame({"a": asking[found[0]], "b": reps[found[1]], "core": core[found[0]]}))
-        moved = name != np.arange(len(name))
-        links.append(pd.DataFrame({"a": reps[moved], "b": reps[name[moved]], "core": np.ones(moved.sum(), bool)}))
-        return pd.concat(links)
-
-    members = chunked.join(cores.where("core").select("rep"), "rep", "left_semi")
-    links = cut_lineage(meet(visitors.join(cores.withColumnRenamed("rep", "qrep"), "qrep"), members, unite, "a bigint, b bigint, core boolean"))
+    centres = meeting._pivots(distinct, pivots or max(1, min(2048, total // max(1, chunk // 4))), seed)
+    chunked = meeting.chunks(meeting.homes(distinct.select("rep", "x", "n"), centres, "rep bigint, x array<double>, n bigint"), chunk)
+    layout = meeting.Layout.of(meeting.rings(chunked), centres)
+    blocks = meeting.pack(chunked, layout, ["n"])
+    where = meeting.plan(blocks, layout, layout, lambda _, x: np.full(len(x), eps))
+
+    # Each point and its group's part of the rows within reach, added up per point.
+    counted = meeting.meet(blocks, blocks, where, layout, lambda *group: _Count(eps, *group), "rep bigint, near bigint")
+    cores = cut_lineage(counted.groupBy("rep").agg(F.sum("near").alias("near")).select("rep", (F.col("near") >= min_points).alias("core")))
+
+    # Among core points only: links of the united parts of a group, and for others the parts they touch.
+    marked = chunked.join(cores, "rep").withColumn("core", F.col("core").cast("int"))
+    asking, members = meeting.pack(marked, layout, ["core"]), meeting.pack(marked.where("core = 1"), layout, ["core"])
+    links = cut_lineage(meeting.meet(asking, members, where, layout, lambda *group: _Unite(eps, *group), "a bigint, b bigint, core boolean"))
     own = cores.where("core").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     parts = graph.components(graph.undirected_edges(links.where("core").select("a", "b").unionByName(own), "a", "b"))
     # Border points touch a core point; its cluster is known by now.
@@ -92,70 +64,81 @@ def clusters(df: DataFrame, row_id: str, features: str, eps: float, min_points:
     return keyed.join(by_key, "key", "left").select("id", "cluster", F.coalesce("kind", F.lit("noise")).alias("kind"))
 
 
-def _blocks(queries: pd.DataFrame, members: pd.DataFrame, eps: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the first query, whether each member is within reach of each query) by slices of queries.
-
-    One matrix product tells most pairs apart; those it leaves within rounding of ``eps`` are added up by coordinate.
-    """
-    if not len(queries) or not len(members):
-        return
-    qx, x = np.stack(queries["qx"].to_numpy()), np.stack(members["x"].to_numpy())
-    norms = (x ** 2).sum(axis=1)
-    for first in range(0, len(qx), SLICE):
-        part = qx[first:first + SLICE]
-        sizes = (part ** 2).sum(axis=1)[:, None] + norms[None]
-        over = sizes - 2 * (part @ x.T) - eps * eps
-        close = over <= 0
-        q, m = np.nonzero(~(np.abs(over) > 1e-10 * (sizes + eps * eps)))  # also where numbers are too large for squares
-        for some in range(0, len(q), 1 << 16):
-            i, j = q[some:some + (1 << 16)], m[some:some + (1 << 16)]
-            total = np.zeros(len(i))
-            for c in range(x.shape[1]):
-                total += (part[i, c] - x[j, c]) ** 2
-            close[i, j] = np.sqrt(total) <= eps
-        yield first, close
-
-
-def _eps_join(distinct: DataFrame, total: int, eps: float, seed: int, pivots: int | None, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(members of chunks, once per lane; ids of the points that visit a chunk, with their lane)."""
-    centres = _pivots(distinct, pivots or max(1, min(2048, total // (chunk // 4))), seed)
-    between = _distances(centres, centres)
-    room = eps * (1 + _SLACK) + _SLACK
-
-    def home(batches):
-        for b in batches:
-            if len(b):
-                d = _distances(np.stack(b["x"].to_numpy()), centres)
-                near = d.argmin(axis=1)
-                yield b.assign(cell=near.astype("int32"), to_pivot=d[np.arange(len(b)), near])
-
-    placed = distinct.select("rep", "x", "n").mapInPandas(home, "rep bigint, x array<double>, n bigint, cell int, to_pivot double")
-    numbered = ordered.scan(placed, ["cell"], ["to_pivot", "rep"], [ordered.row_number("rn")])
-    chunked = cut_lineage(numbered.withColumn("part", F.floor((F.col("rn") - 1) / chunk).cast("int")).drop("rn"))
-    rings = cut_lineage(chunked.groupBy("cell", "part").agg(F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi")))  # one row per chunk
-    shell = np.array(sorted(tuple(r) for r in rings.groupBy("cell").agg(F.min("lo"), F.max("hi")).collect()), dtype=float)  # at most 2048 cells
-
-    def visits(batches):
-        cells = shell[:, 0].astype(int)
-        for b in batches:
-            if not len(b):
-                continue
-            d, here = _distances(np.stack(b["x"].to_numpy()), centres)[:, cells], b["cell"].to_numpy()
-            gap = np.maximum(shell[None, :, 1] - d, d - shell[None, :, 2])
-            apart = between[here][:, cells]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d ** 2 - b["to_pivot"].to_numpy()[:, None] ** 2) / (2 * apart)
-            plane = np.where(apart > 0, plane, -np.inf)
-            q, c = np.nonzero((gap <= room) & (plane <= room + _SLACK * (1 + d ** 2)))
-            yield pd.DataFrame({"qrep": b["rep"].to_numpy()[q], "cell": cells[c].astype("int32"), "away": d[q, c]})
-
-    asked = chunked.select("rep", "x", "cell", "to_pivot").mapInPandas(visits, "qrep bigint, cell int, away double")
-    asked = cut_lineage(asked.join(rings, "cell").where(
-        F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi")) <= F.lit(room)).select("qrep", "cell", "part"))
-    load = cut_lineage(asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4.0 * chunk)).cast("int").alias("lanes")))  # one row per chunk
-    asked = asked.join(load, ["cell", "part"]).select(
-        "qrep", "cell", "part", F.pmod(F.xxhash64("qrep"), F.col("lanes")).cast("int").alias("lane"))
-    members = chunked.join(load, ["cell", "part"]).select(
-        "rep", "x", "n", F.col("cell").alias("tcell"), F.col("part").alias("tpart"),
-        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("tlane"))
-    return members, asked
+class _Reach(meeting.Visitor):
+    """The points of a group, with those members of a block that lie within ``eps``."""
+
+    def __init__(self, eps: float, layout: meeting.Layout, reps: np.ndarray, x: np.ndarray, more: np.ndarray):
+        super().__init__(layout, reps, x, np.full(len(x), eps))
+        self.eps, self.more = eps, more[:, 0]
+
+    def close(self, block: int, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place of the point, place of the member), some points at a time; pairs within rounding of ``eps`` are added up by coordinate."""
+        for rows in self.slices(block):
+            i, j, sure = self.within(rows, x)
+            unsure = np.flatnonzero(~sure)
+            near = sure.copy()
+            near[unsure] = _pair_distances(self.x[rows], x, i[unsure], j[unsure]) <= self.eps
+            yield rows[i[near]], j[near]
+
+
+class _Count(_Reach):
+    """Rows within reach of each point."""
+
+    def __init__(self, *group):
+        super().__init__(*group)
+        self.near = np.zeros(len(self.x))
+
+    def meet(self, block: int, reps: np.ndarray, x: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in self.close(block, x):
+            self.near += np.bincount(i, more[j, 0], len(self.near))
+        return iter(())
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(self.reps), pa.array(self.near.astype(np.int64))], ["rep", "near"])
+
+
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``n`` numbers is linked with."""
+    name = np.arange(n)
+    while True:
+        least, new = np.minimum(name[a], name[b]), name.copy()
+        np.minimum.at(new, name[a], least)
+        np.minimum.at(new, name[b], least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, name):
+            return name
+        name = new
+
+
+class _Unite(_Reach):
+    """Parts of the core points of a group, named by a place in it; members of a block are places behind those of the group."""
+
+    def __init__(self, *group):
+        super().__init__(*group)
+        self.name = np.arange(len(self.x))
+
+    def meet(self, block: int, reps: np.ndarray, x: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, others = len(self.x), []
+        held = n + np.arange(len(x))
+        for i, j in self.close(block, x):
+            core = self.more[i] > 0
+            others.append((i[~core], j[~core]))
+            edges = np.unique(self.name[i[core]] * (n + len(x)) + held[j[core]])
+            part = _united(n + len(x), *np.divmod(edges, n + len(x)))
+            self.name, held = part[self.name], part[held]
+        names = np.concatenate([self.reps, reps])
+        linked = held < n
+        yield _links(reps[linked], names[held[linked]], True)
+        if others:
+            i, j = (np.concatenate(c) for c in zip(*others))
+            i, part = np.divmod(np.unique(i * (n + len(x)) + held[j]), n + len(x))
+            yield _links(self.reps[i], names[part], False)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        moved = self.name != np.arange(len(self.name))
+        yield _links(self.reps[moved], self.reps[self.name[moved]], True)
+
+
+def _links(a: np.ndarray, b: np.ndarray, core: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), core))], ["a", "b", "core"])

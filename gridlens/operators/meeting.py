@@ -132,7 +132,7 @@ def pack(chunked: DataFrame, layout: Layout, more: list[str]) -> DataFrame:
             half = x.astype(np.float32)
         x = half if np.array_equal(half.astype(float), x) else x
         other = np.ascontiguousarray(group[more].to_numpy(dtype=float))
-        return pd.DataFrame({"block": [held.value[int(key[0]), int(key[1])]], "n": [len(group)], "rep": [group["rep"].to_numpy(dtype=np.int64).tobytes()],
+        return pd.DataFrame({"block": [held.value[int(key[0]), int(key[1])]], "n": [len(group)], "rep": [group["rep"].fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64).tobytes()],
                              "x": [x.tobytes()], "more": [other.tobytes()]})
 
     return cut_lineage(chunked.select("cell", "part", "rep", "x", *more).groupBy("cell", "part").applyInPandas(packed, BLOCK))

@@ -48,3 +48,16 @@ def test_rows_without_a_whole_vector(spark):
     got = {r["id"]: (r["cluster"], r["kind"]) for r in density.clusters(df, "id", "x", 0.5, 3).collect()}
     assert got == {**{i: (1, "core") for i in (1, 2, 3)}, **{i: (None, "noise") for i in range(4, 10)}}
     assert density.clusters(df.where("id < 0"), "id", "x", 0.5, 3).count() == 0
+
+
+def test_one_link_per_point_and_group(spark, monkeypatch):
+    """However many blocks a point meets, no more than one link of it is written per group of points."""
+    monkeypatch.setattr(density.meeting, "GROUPS", 3)
+    plans, counts = [], []
+    plan, edges = density.meeting.plan, density.graph.undirected_edges
+    monkeypatch.setattr(density.meeting, "plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    monkeypatch.setattr(density.graph, "undirected_edges", lambda df, *a: counts.append(df.count()) or edges(df, *a))
+    x = np.random.default_rng(5).normal(0, 1, (240, 5))
+    got = density.clusters(frame(spark, x), "id", "x", 9.0, 3, chunk=8, pivots=40).collect()
+    assert {(r["cluster"], r["kind"]) for r in got} == {(0, "core")}
+    assert plans[0].tasks <= 5 and counts[0] <= (plans[0].tasks + 2) * 240
