@@ -66,6 +66,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where they lie in fewer partitions than tasks can run: a file of one row group is one partition."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 #: Rows of a narrow lookup table that may be broadcast.
 LOOKUP_ROWS = 200_000
 
