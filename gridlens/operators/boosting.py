@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import ensemble
 from gridlens.operators.quantiles import column_quantiles
-from gridlens.session import cut_lineage
+from gridlens.session import cut_lineage, spread
 
 #: Rows of a block, and gradients of one unit.
 BLOCK = 4096
@@ -274,7 +274,7 @@ class BoostedTrees(Estimator, _BoostingParams, DefaultParamsWritable, DefaultPar
         self._set(**params)
 
     def _fit(self, df: DataFrame) -> BoostedTreesModel:
-        rows, classes, width, base = self._rows(df)
+        rows, classes, width, base = self._rows(spread(df, BLOCK))
         cuts = self._cuts(rows, width)
         bins_of = max(len(c) for c in cuts) + 2
         blocks = cut_lineage(rows.mapInArrow(_to_blocks(cuts, base), BLOCKS))

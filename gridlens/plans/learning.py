@@ -63,7 +63,7 @@ def _regimes(t):
     band = sum(((a > c).cast("int") for c in (-0.03, 0.05, 0.13)), (a > -0.12).cast("int"))
     rows = t.embeddings.select("vec_id", "embedding", (2 * band + (b > 0).cast("int")).alias("truth"),
                                (F.md5(F.col("vec_id").cast("string")) < "33").alias("held_out")).where("truth is not null")
-    return cut_lineage(spread(models.as_vectors(rows, "embedding", "truth", keep=("vec_id", "held_out"))))
+    return spread(cut_lineage(models.as_vectors(rows, "embedding", "truth", keep=("vec_id", "held_out"))))
 
 
 def _above_floor(scored, floor):

@@ -66,10 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly where they lie in fewer partitions than tasks can run: a file of one row group is one partition."""
+def spread(df: DataFrame, least: int = 4096) -> DataFrame:
+    """Rows written anew in even partitions where one holds more than ``least`` and twice its share: a row group of a file is one partition."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return cut_lineage(df.repartition(tasks)) if max(held, default=0) > max(least, 2 * sum(held) / tasks) else df
 
 
 #: Rows of a narrow lookup table that may be broadcast.
